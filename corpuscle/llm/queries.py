@@ -5,22 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .bpe import bpe_round_trip
+from .common import new_path, table
 from .ngram_join import ngram_jaccard_join
+from .quality_rules import BASE, apply_policy, rule_ledger
 from .substring_dedup import substring_dedup
+from .token_output import read_tokens, write_tokens
+
+
+def tokenizer_file(name: str) -> str:
+    """A file of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35)
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return read_tokens(spark, path)
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), token_pattern())
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = apply_policy(rule_ledger(table(spark, sf_dir, "documents")), version=2)
+    base = F.col("failures").bitwiseAND(F.lit(BASE).cast("long")) != 0
+    return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures", "policy_version")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op7_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
