@@ -96,10 +96,9 @@ class Codec:
 
     def _units(self, units: list[str]) -> list[bytes]:
         split = [[p.encode() for p in self.pattern.findall(u)] for u in units]
-        new = list({p for pieces in split for p in pieces} - self.merged.keys())
         if len(self.merged) > KEPT:
             self.merged.clear()
-            new = list({p for pieces in split for p in pieces})
+        new = [p for p in {p for pieces in split for p in pieces} if p not in self.merged]
         if new:
             numbers = self.hash.number(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))
             for p, at in zip(new, numbers.tolist(), strict=True):
