@@ -5,14 +5,16 @@ Of each window's `ANCHOR`-word sequences the one with the least hash is its anch
 anchors, so a window whose anchor occurs once in the corpus occurs once.
 
 1. Tasks count anchor occurrences (about one word in fourteen) in a count-min sketch; Spark merges the sketches.
-2. A second pass writes a 96-bit hash of every window whose anchor is estimated to be repeated, and for the documents
-   that have such windows the words themselves; all other documents are finished there and then.
-3. Candidate windows are grouped exactly, by hash, on the smallest and the largest place they start at: two numbers
-   that combine before the shuffle, so a passage that a third of all documents share is a few rows.
-4. Repeated windows join back to the candidates, and each affected document meets its own list of starts.
+2. Windows that share an anchor lie side by side: a span.  A second pass hashes each span whose anchor is estimated
+   to be repeated.  Spans are grouped exactly on the smallest and largest place they start at, two numbers that combine
+   before the shuffle, so a passage that a third of all documents share is a few rows.  All windows of a repeated span
+   are repeated.
+3. A third pass joins spans to the repeated ones.  Window by window, only the others are left, and one copy of each
+   repeated span for them to meet; these windows are grouped in the same way.
+4. Each document meets the list of its own repeated starts.
 
-Documents with equal word sequences are one group: if it has several members, every window of theirs starts
-elsewhere too, so all their words go, and no task needs to hold the group.
+Documents of equal texts are one group: if it has several members, every window of theirs starts elsewhere too, so all
+their words go, and no task needs to hold the group.
 
 Nulls: a null text has no words.  Documents of fewer words than a window lose nothing.  Rows repeat freely, also
 with the same doc_id; each row has its own result.  Other columns of the input are ignored, whatever their names.
@@ -68,104 +70,111 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return g, at + np.arange(len(at))
 
 
-def _digest(words: list[bytes]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_intdigest(b" ".join(words))
-    return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
+def _spans(batches, window: int, bits: np.ndarray, with_windows: bool):
+    """Spans of windows whose anchor may be repeated; each different text once for a task.
 
-
-def repeated_windows(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """Per document: its key, size and, if it may change, its text; per key: number of copies and repeated starts."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    Batches of text, d1, d2 -> s1, s2, d1, d2, at, size, and with_windows also anchor, windows.
+    """
+    seen: set[tuple[int, int]] = set()
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            cols: list[list[np.ndarray]] = [[] for _ in range(8)]
+            for b, d in zip(texts(batch.column(0)), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True):
+                if b is None or d in seen or len(w := b.split()) < window:
+                    continue
+                seen.add(d)
+                h = word_hashes(w)
+                g, anchor = anchors(h, window)
+                pos = np.flatnonzero(maybe_repeated(bits, g)[anchor])
+                if not len(pos):
+                    continue
+                one, two = grams(h, window)[pos], grams(h, window, _MULT2)[pos]
+                cut = np.concatenate(([0], np.flatnonzero((np.diff(pos) != 1) | (np.diff(anchor[pos]) != 0)) + 1, [len(pos)]))
+                at, size = pos[cut[:-1]], np.diff(cut)
+                # a span's words are those of its first and its last window, and both cover what lies between
+                last = pos[cut[1:] - 1] - at
+                s1 = mix64(one[cut[:-1]] * _MULT + mix64(one[cut[1:] - 1]) + last.astype(np.uint64))
+                s2 = mix64(two[cut[:-1]] * _MULT + mix64(two[cut[1:] - 1]) + last.astype(np.uint64))
+                row = [s1, s2, np.full(len(at), d[0], np.int64), np.full(len(at), d[1], np.int64), at, size]
+                if with_windows:
+                    row += [g[anchor[at]], one]
+                for c, v in zip(cols, row, strict=False):
+                    c.append(v)
+            if cols[0]:
+                full = [np.concatenate(c).view(np.int64) for c in cols[: 8 if with_windows else 6]]
+                arrays = [pa.array(c) for c in full[:4]] + [pa.array(c.astype(np.int32)) for c in full[4:6]]
+                if with_windows:
+                    arrays += [pa.array(full[6]), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(full[5]))).astype(np.int32)), pa.array(full[7]))]
+                yield pa.RecordBatch.from_arrays(arrays, ["s1", "s2", "d1", "d2", "at", "size", "anchor", "windows"][: len(arrays)])
+
+
+_SPAN = "s1 long, s2 long, d1 long, d2 long, at int, size int"
+
+
+def repeated_starts(docs: DataFrame, window: int) -> DataFrame:
+    """docs: doc_id, text, d1, d2.  Per text: d1, d2, copies (if several), starts: ranges (at, size) of repeated windows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    width = width_for(size / 80)  # about one anchor in 80 bytes
 
     def keys_of(batch):
-        for b in texts(batch.column(1)):
+        for b in texts(batch.column(0)):
             if b is not None and len(w := b.split()) >= window:
                 g, at = anchors(word_hashes(w), window)
                 yield g[np.unique(at)]
 
-    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs, keys_of, width))
-
-    def candidates(batches):
-        seen: set[tuple[int, int]] = set()  # copies in one task write their windows once
-        for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                cols: list[list] = [[] for _ in range(8)]
-                for doc_id, b in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                    w = b.split() if b is not None else []
-                    d1, d2 = _digest(w)
-                    row = [doc_id, d1, d2, len(w), hashlib.sha256(b" ".join(w)).hexdigest(), None, None, None]
-                    if len(w) >= window:
-                        h = word_hashes(w)
-                        g, at = anchors(h, window)
-                        pos = np.flatnonzero(maybe_repeated(bits.value, g)[at])
-                        if len(pos):
-                            row[5] = b
-                            if (d1, d2) not in seen:
-                                seen.add((d1, d2))
-                                one, two = grams(h, window)[pos], grams(h, window, _MULT2)[pos]
-                                row[6] = pos.astype(np.int32)
-                                row[7] = (one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                    for c, v in zip(cols, row, strict=True):
-                        c.append(v)
-                first = [None if v is None else v[0] for v in cols[7]]
-                second = [None if v is None else v[1] for v in cols[7]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary()), pa.array(cols[6], pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int64())), pa.array(second, pa.list_(pa.int32()))],
-                    ["doc_id", "d1", "d2", "n_words", "sha", "text", "pos", "w1", "w2"],
-                )
-
-    rows = saved(docs.mapInArrow(candidates, "doc_id long, d1 long, d2 long, n_words long, sha string, text binary, pos array<int>, w1 array<long>, w2 array<int>"), "windows")
-    starts = rows.where("pos IS NOT NULL").select("d1", "d2", F.explode(F.arrays_zip("pos", "w1", "w2")).alias("c"))
-    # a start's place in one long beside d1: 32 more bits of the digest, then the word number
-    starts = starts.select("d1", "d2", F.col("c.pos").alias("pos"), F.col("c.w1").alias("w1"), F.col("c.w2").alias("w2"))
-    place = F.shiftleft(F.col("d2").bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.col("pos").cast("long"))
-    repeated = (
-        starts.select("w1", "w2", F.col("d1").bitwiseXOR(F.xxhash64(place)).alias("spot"))
-        .groupBy("w1", "w2")
-        .agg(F.min("spot").alias("lo"), F.max("spot").alias("hi"))
-        .where("lo <> hi")
-        .select("w1", "w2")
-    )
-    hits = starts.join(repeated, ["w1", "w2"]).groupBy("d1", "d2").agg(F.sort_array(F.collect_list("pos")).alias("starts"))
-    copies = rows.where(F.col("n_words") >= window).groupBy("d1", "d2").agg(F.count("*").alias("copies")).where("copies > 1")
-    return rows.drop("pos", "w1", "w2"), hits.join(copies, ["d1", "d2"], "full")
-
-
-def _covered(n: int, starts, window: int) -> np.ndarray:
+    only = docs.select("text", "d1", "d2")
+    # about one anchor in 80 bytes
+    bits = docs.sparkSession.sparkContext.broadcast(repeated_bits(docs.select("text"), keys_of, width_for(size / 80)))
+    spot = F.col("d1").bitwiseXOR(F.xxhash64("d2", "at"))
+    small = only.mapInArrow(lambda b: _spans(b, window, bits.value, False), _SPAN).select("s1", "s2", spot.alias("spot"))
+    multi = saved(small.groupBy("s1", "s2").agg(F.min("spot").alias("lo"), F.max("spot").alias("hi")).where("lo <> hi").drop("hi"), "spans")
+    spans = only.mapInArrow(lambda b: _spans(b, window, bits.value, True), _SPAN + ", anchor long, windows array<long>")
+    spans = spans.join(multi, ["s1", "s2"], "left").withColumn("known", F.col("lo").isNotNull())
+    spans = saved(spans.select("d1", "d2", "at", "size", "known", "anchor", F.when(~F.col("known") | (F.col("lo") == spot), F.col("windows")).alias("windows")), "windows")
+    each = spans.where("windows IS NOT NULL").select("d1", "d2", "known", "anchor", "at", F.posexplode("windows").alias("i", "w"))
+    each = each.select("d1", "d2", "known", "anchor", (F.col("at") + F.col("i")).alias("at"), "w")
+    repeated = each.select("anchor", "w", spot.alias("spot")).groupBy("anchor", "w").agg(F.min("spot").alias("lo"), F.max("spot").alias("hi")).where("lo <> hi").select("anchor", "w")
+    single = each.where(~F.col("known")).join(repeated, ["anchor", "w"]).select("d1", "d2", "at", F.lit(1).alias("size"))
+    starts = spans.where("known").select("d1", "d2", "at", "size").union(single)
+    starts = starts.groupBy("d1", "d2").agg(F.collect_list(F.struct("at", "size")).alias("starts"))
+    copies = docs.groupBy("d1", "d2").agg(F.count("*").alias("copies")).where("copies > 1")
+    return starts.join(copies, ["d1", "d2"], "full")
+
+
+def _covered(n: int, starts: list[dict], window: int) -> np.ndarray:
+    """Words covered by windows that start in the ranges."""
     edge = np.zeros(n + 1, np.int32)
-    s = np.unique(np.asarray(starts, np.int64))
-    np.add.at(edge, s, 1)
-    np.add.at(edge, np.minimum(s + window, n), -1)
+    at = np.array([s["at"] for s in starts])
+    end = at + np.array([s["size"] for s in starts]) + window - 1
+    np.add.at(edge, at, 1)
+    np.add.at(edge, end, -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, changed, and with_text also the kept words (null where nothing is removed).
+    """doc_id, n_words, n_removed, kept_sha256, and with_text also kept_text (null where nothing is removed).
 
-    kept_sha256 is of the kept words joined by one space, in UTF-8.
+    kept_sha256 is of the kept words joined by one space, in UTF-8; so is kept_text.
     """
-    rows, info = repeated_windows(docs, window)
-    joined = rows.join(info, ["d1", "d2"], "left").select("doc_id", "n_words", "sha", "text", "copies", "starts")
-    empty = hashlib.sha256(b"").hexdigest()
+    text = F.col("text").cast("string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+    joined = docs.join(repeated_starts(docs, window), ["d1", "d2"], "left").select("doc_id", "text", "copies", "starts")
 
     def cut(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
                 out: list[list] = [[], [], [], [], []]
-                for doc_id, n, sha, text, copies, starts in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                    removed, kept = 0, None
+                for doc_id, b, copies, starts in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    words = b.split() if b is not None else []
+                    n, removed = len(words), 0
                     if n >= window and copies is not None:
-                        removed, sha, kept = n, empty, b""
+                        words, removed = [], n
                     elif starts:
-                        words = text.split()
                         gone = _covered(n, starts, window)
-                        kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                        removed, sha = int(gone.sum()), hashlib.sha256(kept).hexdigest()
-                    for c, v in zip(out, (doc_id, n, removed, sha, kept if with_text else None), strict=True):
+                        words, removed = [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
+                    kept = b" ".join(words)
+                    for c, v in zip(out, (doc_id, n, removed, hashlib.sha256(kept).hexdigest(), kept if with_text and removed else None), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
