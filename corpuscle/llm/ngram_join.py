@@ -6,11 +6,12 @@ such points find the pairs that may reach the threshold; the token sets then dec
 
 So that trees stay small and separate, points meet only where they must: two sets of similarity t or more share a
 token among the first n - ceil(t n) + 1 of each, in any order common to all documents.  The order used puts tokens
-rare in the corpus first, so widely shared passages are hardly ever keys.
+that occur once first and frequent ones last, so documents that only share passages have no key in common.
 
 1. Equal sets become one class; a star of links to its smallest doc_id stands for it.
 2. Frequent tokens are those whose summed counts reach `max(32, tokens / 2**20)`: at most 2**20 of them, broadcast.
-3. A count-min sketch over the keys tells documents that share no key with any other; these are finished.
+3. A count-min sketch over a fixed share of all tokens (those with low hashes, enough to fill the keys) tells tokens
+   that occur once, and a second one, over the keys, documents that share none with any other: these are finished.
 4. Under each key every document is checked against the most typical one (its tokens are the most frequent): one
    verified link for each member of a dense group, instead of all its pairs.
 5. Keys whose documents are not all linked already go to the R-trees, in cells of at most about 2 * CELL points: the
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, saved, texts
 from .components import connected_components
-from .sketch import maybe_repeated, repeated_bits, width_for
+from .sketch import counted, maybe_repeated, merged_bits, repeated_bits, width_for
 from .substring_dedup import grams, word_hashes
 
 GROUPS = 64
@@ -64,24 +65,29 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
 
 
 class _Order:
-    """The common order of tokens: by frequency class, then by hash."""
+    """The common order of tokens: by frequency class, then by hash.
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+    Classes: 0 low tokens that occur once, 1 tokens that aren't low, 2 other low tokens, from 3 frequent tokens.
+    """
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, low: np.uint64, bits: np.ndarray):
         at = np.argsort(tokens)
-        self.tokens, self.rank = tokens[at], np.log2(counts[at]).astype(np.int64)
+        self.tokens, self.rank, self.low, self.bits = tokens[at], np.log2(counts[at]).astype(np.int64) + 2, low, bits
 
-    def prefix(self, tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-        """The document's keys, in order, and how typical it is of the corpus."""
+    def prefix(self, tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The document's keys, in order, which of them another document may have, and how typical it is of the corpus."""
         n = len(tokens)
         if not n or n * den // num == n:  # only an equal set can link with it
-            return tokens[:0], 0
-        p, typical = n - _ceil(n, num, den) + 1, 0
+            return tokens[:0], np.zeros(0, bool), 0
+        p = n - _ceil(n, num, den) + 1
+        rank = np.ones(n, np.int64)
+        low = np.searchsorted(tokens, self.low)
+        rank[:low] = 2 * maybe_repeated(self.bits, tokens[:low])
         if len(self.tokens):
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            rank = np.where(self.tokens[at] == tokens, self.rank[at], 0)
-            typical = int(rank.sum() * 1000 // n)
-            return tokens[np.argsort(rank, kind="stable")[:p]], typical
-        return tokens[:p], typical
+            rank = np.where(self.tokens[at] == tokens, self.rank[at], rank)
+        first = np.argsort(rank, kind="stable")[:p]
+        return tokens[first], rank[first] > 0, int(rank.sum() * 1000 // n)
 
 
 def _unseen(batches: Iterator[pa.RecordBatch], n: int, rows: int = 256):
@@ -97,16 +103,25 @@ def _unseen(batches: Iterator[pa.RecordBatch], n: int, rows: int = 256):
                     yield doc_id, t
 
 
-def _classes_and_counts(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: doc_id, set size, digest; kind 1: a token and how often a task met it (twice or more)."""
+def _classes_and_counts(docs: DataFrame, n: int, low: np.uint64, width: int) -> DataFrame:
+    """kind 0: doc_id, set size, digest; kind 1: a token and how often a task met it (twice or more); kind 2: counters of low tokens."""
 
     def run(batches):
         held, size, seen = [], 0, set()
 
+        def batch_of(kind: int, *cols):
+            n = len(cols[0])
+            types = [pa.int64()] * 4 + [pa.binary()] * 2
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8))] + [pa.array(c, t) if c is not None else pa.nulls(n, t) for c, t in zip([*cols, *[None] * (6 - len(cols))], types, strict=True)], ["kind", "id", "n", "d1", "d2", "one", "more"])
+
         def tally():
             t, c = np.unique(np.concatenate(held), return_counts=True)
-            t, c = t[c > 1], c[c > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64())], ["kind", "id", "n", "d1", "d2"])
+            yield batch_of(1, t[c > 1].view(np.int64), c[c > 1].astype(np.int64))
+            if len(t) and t[0] < low:
+                found = counted([x[: np.searchsorted(x, low)] for x in held], width)
+                for at in range(0, len(found), 512):
+                    b, one, more = zip(*found[at : at + 512], strict=True)
+                    yield batch_of(2, np.array(b, np.int64), None, None, None, one, more)
 
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
@@ -121,14 +136,14 @@ def _classes_and_counts(docs: DataFrame, n: int) -> DataFrame:
                         seen.add(d)
                         held.append(t)
                         size += len(t)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(out[0]), np.int8)), *(pa.array(c, pa.int64()) for c in out)], ["kind", "id", "n", "d1", "d2"])
+                yield batch_of(0, *out)
                 if size >= TALLY:
-                    yield tally()
+                    yield from tally()
                     held, size = [], 0
         if held:
-            yield tally()
+            yield from tally()
 
-    return saved(docs.mapInArrow(run, "kind byte, id long, n long, d1 long, d2 long"), "sets")
+    return saved(docs.mapInArrow(run, "kind byte, id long, n long, d1 long, d2 long, one binary, more binary"), "sets")
 
 
 def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> DataFrame:
@@ -142,8 +157,9 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "n", "typical", "keys", "places", "point", "tokens"])
 
         for doc_id, t in _unseen(batches, n):
-            keys, typical = order.value.prefix(t, num, den)
-            at = np.flatnonzero(maybe_repeated(bits.value, keys))
+            keys, shared, typical = order.value.prefix(t, num, den)
+            at = np.flatnonzero(shared)
+            at = at[maybe_repeated(bits.value, keys[at])]
             if len(at):
                 point = np.bincount((mix64(t) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
                 for c, v in zip(cols, (doc_id, len(t), typical, keys[at].view(np.int64), at.astype(np.int32), point.tobytes(), t.tobytes()), strict=True):
@@ -294,18 +310,23 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     """(documents: id, n, d1, d2; links: a, b) - the links connect exactly the documents the similarity connects."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _classes_and_counts(docs, n)
-    sets = found.where("kind = 0")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(1.0, 2.5 * (den - num) / den)  # more than the keys, so that tokens that occur once can fill them
+    low, width = np.uint64(min(int(share * 2**64), 2**64 - 1)), width_for(share * size / 6, 4)  # about six bytes a word
+    found = _classes_and_counts(docs, n, low, width)
+    sets = found.where("kind = 0").select("id", "n", "d1", "d2")
     total, keys = sets.agg(F.sum("n"), F.sum(F.col("n") * (den - num) / F.lit(den) + 1)).first()
     floor = max(32, (total or 0) // (1 << 20))
     hot = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()  # at most 2**20 rows: their counts sum to no more than the total
-    order = spark.sparkContext.broadcast(_Order(hot.column("id").to_numpy().view(np.uint64), hot.column("n").to_numpy()))
+    once = merged_bits(found.where("kind = 2").select(F.col("id").cast("int").alias("block"), "one", "more"), width)
+    order = spark.sparkContext.broadcast(_Order(hot.column("id").to_numpy().view(np.uint64), hot.column("n").to_numpy(), low, once))
 
-    def keys_of(batches):
-        for doc_id, t in _unseen(iter([batches]), n):
-            yield order.value.prefix(t, num, den)[0]
+    def keys_of(batch):
+        for _, t in _unseen(iter([batch]), n):
+            keys, shared, _ = order.value.prefix(t, num, den)
+            yield keys[shared]
 
-    bits = spark.sparkContext.broadcast(repeated_bits(docs, keys_of, width_for(keys or 0), rows=4096))
+    bits = spark.sparkContext.broadcast(repeated_bits(docs, keys_of, width_for((keys or 0) / 4), rows=4096))
     rows = _join_rows(docs, n, order, bits, num, den)
 
     keyed = rows.select("doc", "typical", F.explode("keys").alias("key"))

@@ -21,9 +21,9 @@ MIN_WIDTH, MAX_WIDTH = 1 << 18, 1 << 28
 FLUSH = 1 << 20
 
 
-def width_for(keys: float) -> int:
+def width_for(keys: float, each: int = 8) -> int:
     """Counters a row for about this many keys; bounded, so a larger corpus gets a fuller sketch, never a larger one."""
-    return int(min(MAX_WIDTH, max(MIN_WIDTH, 1 << int(np.ceil(np.log2(max(8 * keys, 1)))))))
+    return int(min(MAX_WIDTH, max(MIN_WIDTH, 1 << int(np.ceil(np.log2(max(each * keys, 1)))))))
 
 
 def slots(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,7 @@ def repeated_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
         held, n = [], 0
 
         def out():
-            found = list(_blocks(np.concatenate(held), width))
+            found = counted(held, width)
             for at in range(0, len(found), 512):
                 b, one, more = zip(*found[at : at + 512], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(one, pa.binary()), pa.array(more, pa.binary())], ["block", "one", "more"])
@@ -66,6 +66,17 @@ def repeated_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
         if n:
             yield from out()
 
+    return merged_bits(df.mapInArrow(count, "block int, one binary, more binary"), width)
+
+
+def counted(held: list[np.ndarray], width: int) -> list[tuple[int, bytes, bytes]]:
+    """A task's counters for some keys: block, offsets counted once, offsets counted more often."""
+    return list(_blocks(np.concatenate(held), width))
+
+
+def merged_bits(blocks: DataFrame, width: int) -> np.ndarray:
+    """blocks: block, one, more, as tasks count them."""
+
     def merge(batches):
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -76,12 +87,10 @@ def repeated_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
                 c[one] = np.minimum(c[one] + 1, 2)
                 c[np.frombuffer(more, np.uint16)] = 2
         for b, c in counts.items():
-            bits = np.packbits(c >= 2).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([bits], pa.binary())], ["block", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(c >= 2).tobytes()], pa.binary())], ["block", "bits"])
 
-    merged = df.mapInArrow(count, "block int, one binary, more binary").repartition(F.col("block")).mapInArrow(merge, "block int, bits binary")
     bits = np.zeros((2 * width // BLOCK, BLOCK // 8), np.uint8)
-    for r in merged.toLocalIterator():  # one bit a counter: bounded by MAX_WIDTH
+    for r in blocks.repartition(F.col("block")).mapInArrow(merge, "block int, bits binary").toLocalIterator():  # one bit a counter: bounded by MAX_WIDTH
         bits[r.block] = np.frombuffer(r.bits, np.uint8)
     return bits.reshape(2, width // 8)
 
