@@ -28,11 +28,18 @@ from .perfect_hash import PerfectHash
 
 #: Units whose ids a task keeps.
 KEPT = 600_000
-#: White space before a blank or line end, or at the text's end: units can't be told apart there.
-_RUN = re.compile(r"\s[ \n]|\s\Z")
+_ODD = re.compile(r"[^\S \n]")
+_RUN = re.compile(r"\s[ \n]")
 _UNIT = re.compile(r"[ \n]?[^ \n]+")
 
 
+def runs(text: str) -> bool:
+    """White space before a blank or line end, or at the text's end: units can't be told apart there."""
+    if text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return True
+    return bool(_ODD.search(text) and _RUN.search(text))
+
+
 class UnitCache:
     """Encodings by unit - a word with the blank or line end before it - for patterns that never join across one."""
 
@@ -41,7 +48,7 @@ class UnitCache:
 
     def __call__(self, text: str) -> bytes:
         """The text's ids, in the bytes that encode gives."""
-        if not text or _RUN.search(text):
+        if not text or runs(text):
             return self.encode([text])[0] if text else b""
         units = _UNIT.findall(text)
         try:

@@ -25,11 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import KEPT, UnitCache
+from .bpe import UnitCache
 from .common import mix64
 from .perfect_hash import PerfectHash
 
 SHARD_IDS = 1 << 20
+#: Units whose ids a task keeps.
+KEPT = 1_200_000
 SCHEMA = "shard long, n_docs long, n_tokens long, first_key long, last_key long, width int, doc_ids array<long>, payload binary, bounds binary, hash binary, fingerprints binary, places binary"
 
 
