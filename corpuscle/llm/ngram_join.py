@@ -12,8 +12,8 @@ that occur once first and frequent ones last, so documents that only share passa
 2. Frequent tokens are those whose summed counts reach `max(32, tokens / 2**20)`: at most 2**20 of them, broadcast.
 3. A count-min sketch over a fixed share of all tokens (those with low hashes, enough to fill the keys) tells tokens
    that occur once, and a second one, over the keys, documents that share none with any other: these are finished.
-4. Under each key every document is checked against the most typical one (its tokens are the most frequent): one
-   verified link for each member of a dense group, instead of all its pairs.
+4. Every document is checked against the most typical one (its tokens are the most frequent) that it shares a key with:
+   one verified link for each member of a dense group, instead of all its pairs.
 5. Keys whose documents are not all linked already go to the R-trees, in cells of at most about 2 * CELL points: the
    dominant group of a key is cut into parts that need not meet each other.  Trees join node by node, passing over
    boxes of the same group, of sizes that can't match, and of too little summed minima.  Pairs found are verified.
@@ -173,8 +173,29 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
     return saved(docs.mapInArrow(run, "doc long, n long, typical long, keys array<long>, places array<int>, point binary, tokens binary"), "points")
 
 
+def _bounded(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs a, b whose points allow the threshold."""
+    left = rows.select(F.col("doc").alias("a"), F.col("point").alias("p"))
+    right = rows.select(F.col("doc").alias("b"), F.col("point").alias("q"))
+
+    def run(batches):
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for i in (2, 3))
+            keep = (num + den) * np.minimum(p, q).sum(axis=1) >= num * (p + q).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs a, b whose sets reach the threshold."""
+    """Those of the pairs a, b whose sets reach the threshold.
+
+    The pairs are written first: where they are few, Spark knows it and reads only the sets they name.
+    """
+    pairs = saved(pairs, "pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    if pairs.count() < sets.count() // 8:
+        sets = sets.join(named, "doc", "left_semi")
     left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("s"))
     right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("t"))
 
@@ -331,10 +352,10 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
 
     keyed = rows.select("doc", "typical", F.explode("keys").alias("key"))
     centres = keyed.groupBy("key").agg(F.max_by("doc", "typical").alias("centre"), F.count("*").alias("c")).where("c > 1")
-    stars = keyed.join(centres, "key").where("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
-    star_links = saved(_verified(stars, rows, num, den), "stars")
-    typical = rows.select(F.col("doc").alias("b"), "typical")
-    groups = star_links.join(typical, "b").groupBy("a").agg(F.max_by("b", "typical").alias("comp")).select(F.col("a").alias("doc"), "comp")
+    centres = centres.join(rows.select(F.col("doc").alias("centre"), F.col("typical").alias("rank")), "centre")
+    stars = keyed.join(centres, "key").where("doc <> centre").groupBy(F.col("doc").alias("a")).agg(F.max_by("centre", "rank").alias("b"))
+    star_links = saved(_verified(_bounded(stars, rows, num, den), rows, num, den), "stars")
+    groups = star_links.select(F.col("a").alias("doc"), F.col("b").alias("comp"))
     pairs = _candidates(_cells(rows.drop("tokens"), groups, num, den), num, den)
     links = saved(_verified(pairs, rows, num, den), "links")
     copies = sets.where("n > 0 AND id IS NOT NULL")
