@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bpe import bpe_round_trip
 from .common import new_path, table
+from .language_id import language_id
+from .mixing import MIX_SQL, mix_schedule
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import BASE, apply_policy, rule_ledger
 from .substring_dedup import substring_dedup
@@ -28,6 +31,14 @@ def token_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule(table(spark, sf_dir, "documents"), block=32)
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"), per_language=400)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35)
 
@@ -52,9 +63,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures", "policy_version")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules)}
+    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_schedule": MIX_SQL}
