@@ -46,19 +46,17 @@ class UnitCache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         self.encode, self.kept, self.known = encode, kept, {}
 
-    def __call__(self, text: str) -> bytes:
-        """The text's ids, in the bytes that encode gives."""
-        if not text or runs(text):
-            return self.encode([text])[0] if text else b""
-        units = _UNIT.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            if len(self.known) > self.kept:
-                self.known.clear()
-            new = [u for u in dict.fromkeys(units) if u not in self.known]
-            self.known.update(zip(new, self.encode(new), strict=True))
-            return b"".join(map(self.known.__getitem__, units))
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids, in the bytes that encode gives; units new to the table are encoded together."""
+        split = [_UNIT.findall(t) if t and not runs(t) else None for t in texts]
+        met = set().union(*filter(None, split))
+        new = list(met.difference(self.known))
+        if len(self.known) + len(new) > self.kept:
+            self.known.clear()
+            new = list(met)
+        self.known.update(zip(new, self.encode(new), strict=True))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, u)) if u is not None else self.encode([t])[0] if t else b"" for t, u in zip(texts, split, strict=True)]
 
 
 class Codec:
@@ -112,8 +110,8 @@ class Codec:
                 self.merged[p] = [self.ids[at]] if at >= 0 and self.words[at] == p else self.merge(p)
         return [np.array([i for p in pieces for i in self.merged[p]], "<u4").tobytes() for pieces in split]
 
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(self.units(text), "<u4").tolist()
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        return [np.frombuffer(b, "<u4").tolist() for b in self.units(texts)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -131,11 +129,10 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches):
         c = codec(path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
                 n, ids_sha, bytes_sha = [], [], []
-                for text in batch.column(1).to_pylist():
-                    ids = c.encode(text or "")
+                for ids in c.encode(batch.column(1).to_pylist()):
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(c.text.__getitem__, ids)).encode()).hexdigest())
                     bytes_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())

@@ -101,11 +101,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         end = np.array([end_id], e.dtype).tobytes()
         number, ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                for doc_id, part in zip(batch.column(0).to_pylist(), e.encode(batch.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
-                    parts.append(e.encode(text or "") + end)
+                    parts.append(part + end)
                     size += len(parts[-1])
                     if size >= SHARD_IDS * len(end):
                         yield _shard(number, ids, parts, e.dtype)
