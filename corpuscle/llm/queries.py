@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe import bpe_round_trip
 from .common import new_path, table
+from .html_extract import html_extract
 from .language_id import language_id
 from .mixing import MIX_SQL, mix_schedule
 from .ngram_join import ngram_jaccard_join
@@ -39,6 +40,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"), per_language=400)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"), sample=12)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=35)
 
@@ -68,7 +73,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest)}
+    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
