@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import texts
 
@@ -191,23 +192,40 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def language_id(docs: DataFrame, per_language: int = 400) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row.
+def identified(docs: DataFrame, per_language: int = 400) -> DataFrame:
+    """row (the document as it came), lang_pred, score.
 
-    A row without doc_id counts as not held out.  Where nothing is labelled, lang_pred is `und` and score 0.
+    Where nothing is labelled, lang_pred is `und` and score 0.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    pieces, labels = sample(docs.where(~held_out()), per_language)
-    out = docs.select("doc_id", held_out().alias("held_out"), "text")
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    pieces, labels = sample(docs.where(~held_out()).select(text.alias("text"), lang.alias("lang")), per_language)
+    rows = docs.select(text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     if not pieces:
-        return out.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     net = docs.sparkSession.sparkContext.broadcast(train(pieces, labels))
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                lang, score = predict(net.value, texts(batch.column(2)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                lang, score = predict(net.value, texts(batch.column(0)))
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
+
+def language_id(docs: DataFrame, per_language: int = 400) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row.  A row without doc_id counts as not held out."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    return identified(docs, per_language).select("row.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
 
-    return out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+def accepted(docs: DataFrame, languages: list[str] | None = None, min_score: float = 0.3, per_language: int = 400) -> DataFrame:
+    """The documents in a known language (or one of those given), with their own columns.
+
+    Rejected: `und`, and scores below min_score, which no text that is mostly one language has.
+    """
+    fine = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
+    if languages is not None:
+        fine &= F.col("lang_pred").isin(languages)
+    return identified(docs, per_language).where(fine).select("row.*")

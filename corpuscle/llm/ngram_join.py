@@ -372,3 +372,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] =
         sets.join(found, F.col("id") == F.col("vertex"), "left")
         .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
+    """The documents with their own columns, less all but the smallest doc_id of each group of linked documents.
+
+    Rows without doc_id stay; rows of one doc_id stay or go together.
+    """
+    gone = saved(ngram_jaccard_join(docs, n, threshold).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti")

@@ -12,6 +12,7 @@ from .bpe import bpe_round_trip
 from .common import new_path, table
 from .html_extract import html_extract
 from .language_id import language_id
+from .license_scan import license_scan
 from .mixing import MIX_SQL, mix_schedule
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import BASE, apply_policy, rule_ledger
@@ -72,8 +73,12 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest)}
+    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix64, saved, texts
 from .sketch import maybe_repeated, repeated_bits, width_for
@@ -113,7 +114,7 @@ _SPAN = "s1 long, s2 long, d1 long, d2 long, at int, size int"
 
 
 def repeated_starts(docs: DataFrame, window: int) -> DataFrame:
-    """docs: doc_id, text, d1, d2.  Per text: d1, d2, copies (if several), starts: ranges (at, size) of repeated windows."""
+    """docs: text, d1, d2.  Per text: d1, d2, copies (if several), starts: ranges (at, size) of repeated windows."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def keys_of(batch):
@@ -151,21 +152,18 @@ def _covered(n: int, starts: list[dict], window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, and with_text also kept_text (null where nothing is removed).
-
-    kept_sha256 is of the kept words joined by one space, in UTF-8; so is kept_text.
-    """
+def _cut(docs: DataFrame, window: int) -> DataFrame:
+    """row (the document as it came), n_words, n_removed, kept_sha256, kept_text (null where nothing is removed)."""
     text = F.col("text").cast("string")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
-    joined = docs.join(repeated_starts(docs, window), ["d1", "d2"], "left").select("doc_id", "text", "copies", "starts")
+    docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+    joined = docs.join(repeated_starts(docs, window), ["d1", "d2"], "left").select("row", "text", "copies", "starts")
 
-    def cut(batches):
+    def run(batches):
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
-                out: list[list] = [[], [], [], [], []]
-                for doc_id, b, copies, starts in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                out: list[list] = [[], [], [], []]
+                for b, copies, starts in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     words = b.split() if b is not None else []
                     n, removed = len(words), 0
                     if n >= window and copies is not None:
@@ -174,9 +172,27 @@ def substring_dedup(docs: DataFrame, window: int = 35, with_text: bool = False)
                         gone = _covered(n, starts, window)
                         words, removed = [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
                     kept = b" ".join(words)
-                    for c, v in zip(out, (doc_id, n, removed, hashlib.sha256(kept).hexdigest(), kept if with_text and removed else None), strict=True):
+                    for c, v in zip(out, (n, removed, hashlib.sha256(kept).hexdigest(), kept if removed else b), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.binary()).cast(pa.string())], ["row", "n_words", "n_removed", "kept_sha256", "kept_text"])
+
+    kinds = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
+    return joined.mapInArrow(run, T.StructType([joined.schema["row"], *(T.StructField(n, k) for n, k in kinds)]))
+
 
-    got = joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return got if with_text else got.drop("kept_text")
+def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space, in UTF-8) for every row."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _cut(docs, window).select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+    """The documents with their own columns; text without repeated passages, its words joined by one space where any are removed.
+
+    A document of nothing else stays, with an empty text.  A column n_chars follows the new text.
+    """
+    cut = _cut(docs, window)
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*(new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns))
