@@ -12,8 +12,8 @@ that occur once first and frequent ones last, so documents that only share passa
 2. Frequent tokens are those whose summed counts reach `max(32, tokens / 2**20)`: at most 2**20 of them, broadcast.
 3. A count-min sketch over a fixed share of all tokens (those with low hashes, enough to fill the keys) tells tokens
    that occur once, and a second one, over the keys, documents that share none with any other: these are finished.
-4. Every document is checked against the most typical one (its tokens are the most frequent) that it shares a key with:
-   one verified link for each member of a dense group, instead of all its pairs.
+4. Every document is checked against the nearest of the centres of its keys (documents with few rare tokens and of the
+   usual size), and the untied ones once more: one verified link for each member of a dense group, not all its pairs.
 5. Keys whose documents are not all linked already go to the R-trees, in cells of at most about 2 * CELL points: the
    dominant group of a key is cut into parts that need not meet each other.  Trees join node by node, passing over
    boxes of the same group, of sizes that can't match, and of too little summed minima.  Pairs found are verified.
@@ -42,6 +42,8 @@ from .substring_dedup import grams, word_hashes
 GROUPS = 64
 LEAF = 32
 CELL = 2048
+#: Times that documents not yet tied are offered a centre.
+STAR_ROUNDS = 2
 #: Tokens of which a task counts repeats at a time.
 TALLY = 1 << 22
 
@@ -75,7 +77,7 @@ class _Order:
         self.tokens, self.rank, self.low, self.bits = tokens[at], np.log2(counts[at]).astype(np.int64) + 2, low, bits
 
     def prefix(self, tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The document's keys, in order, which of them another document may have, and how typical it is of the corpus."""
+        """The document's keys, in order, which of them another document may have, and its number of tokens that aren't frequent."""
         n = len(tokens)
         if not n or n * den // num == n:  # only an equal set can link with it
             return tokens[:0], np.zeros(0, bool), 0
@@ -87,7 +89,7 @@ class _Order:
             at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
             rank = np.where(self.tokens[at] == tokens, self.rank[at], rank)
         first = np.argsort(rank, kind="stable")[:p]
-        return tokens[first], rank[first] > 0, int(rank.sum() * 1000 // n)
+        return tokens[first], rank[first] > 0, int((rank < 3).sum())
 
 
 def _unseen(batches: Iterator[pa.RecordBatch], n: int, rows: int = 256):
@@ -154,15 +156,15 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
 
         def out():
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "n", "typical", "keys", "places", "point", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "n", "rare", "keys", "places", "point", "tokens"])
 
         for doc_id, t in _unseen(batches, n):
-            keys, shared, typical = order.value.prefix(t, num, den)
+            keys, shared, rare = order.value.prefix(t, num, den)
             at = np.flatnonzero(shared)
             at = at[maybe_repeated(bits.value, keys[at])]
             if len(at):
                 point = np.bincount((mix64(t) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
-                for c, v in zip(cols, (doc_id, len(t), typical, keys[at].view(np.int64), at.astype(np.int32), point.tobytes(), t.tobytes()), strict=True):
+                for c, v in zip(cols, (doc_id, len(t), rare, keys[at].view(np.int64), at.astype(np.int32), point.tobytes(), t.tobytes()), strict=True):
                     c.append(v)
                 if len(cols[0]) >= 256:
                     yield out()
@@ -170,7 +172,7 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
         if cols[0]:
             yield out()
 
-    return saved(docs.mapInArrow(run, "doc long, n long, typical long, keys array<long>, places array<int>, point binary, tokens binary"), "points")
+    return saved(docs.mapInArrow(run, "doc long, n long, rare long, keys array<long>, places array<int>, point binary, tokens binary"), "points")
 
 
 def _bounded(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -274,20 +276,38 @@ def tree_join(points: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.nda
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
+def _stars(rows: DataFrame) -> DataFrame:
+    """a, b: each document and the centre it is nearest to, of those under its keys.
+
+    A key's centre has few rare tokens and about the usual size: copies with few changes are near to all others.
+    """
+    keyed = rows.select("doc", "n", "rare", F.explode("keys").alias("key"))
+    usual = keyed.groupBy("key").agg(F.percentile_approx("n", 0.5, 100).alias("usual"), F.count("*").alias("c")).where("c > 1")
+    centres = keyed.join(usual, "key").groupBy("key").agg(F.min_by(F.struct("doc", "n", "rare"), F.col("rare") + F.abs(F.col("n") - F.col("usual"))).alias("x"))
+    centres = centres.select("key", F.col("x.doc").alias("centre"), F.col("x.n").alias("m"), F.col("x.rare").alias("odd"))
+    far = F.col("odd") + F.abs(F.col("n") - F.col("m"))
+    return keyed.join(centres, "key").where("doc <> centre").groupBy(F.col("doc").alias("a")).agg(F.min_by("centre", far).alias("b"))
+
+
 def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
     """cells: key, cell, doc, n, place, comp, point; rows of one cell stand together in a partition."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        pairs: list[np.ndarray] = []  # what several keys find goes out once
         last = None
 
+        def out():
+            p = np.unique(np.concatenate(pairs), axis=0)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
         def search():
             t = pa.Table.from_batches(held)
             doc, n, place, comp = (t.column(c).to_numpy() for c in ("doc", "n", "place", "comp"))
             points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
             i, j = tree_join(points, n, place.astype(np.int64), comp, num, den)
-            a, b = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            pairs.append(np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])), axis=1))
 
         for batch in batches:
             key, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -295,12 +315,15 @@ def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
             for at, end in zip(cuts, cuts[1:], strict=False):
                 if end > at:
                     if last is not None and last != (key[at], cell[at]):
-                        yield search()
+                        search()
                         held = []
+                        if sum(map(len, pairs)) > 1 << 18:
+                            yield out()
                     last = (key[at], cell[at])
                     held.append(batch.slice(at, end - at))
         if held:
-            yield search()
+            search()
+            yield out()
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -350,12 +373,13 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     bits = spark.sparkContext.broadcast(repeated_bits(docs, keys_of, width_for((keys or 0) / 4), rows=4096))
     rows = _join_rows(docs, n, order, bits, num, den)
 
-    keyed = rows.select("doc", "typical", F.explode("keys").alias("key"))
-    centres = keyed.groupBy("key").agg(F.max_by("doc", "typical").alias("centre"), F.count("*").alias("c")).where("c > 1")
-    centres = centres.join(rows.select(F.col("doc").alias("centre"), F.col("typical").alias("rank")), "centre")
-    stars = keyed.join(centres, "key").where("doc <> centre").groupBy(F.col("doc").alias("a")).agg(F.max_by("centre", "rank").alias("b"))
-    star_links = saved(_verified(_bounded(stars, rows, num, den), rows, num, den), "stars")
-    groups = star_links.select(F.col("a").alias("doc"), F.col("b").alias("comp"))
+    star_links, left = None, rows
+    for _ in range(STAR_ROUNDS):
+        found = saved(_verified(_bounded(_stars(left), rows, num, den), rows, num, den), "stars")
+        star_links = found if star_links is None else star_links.union(found)
+        tied = found.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+        left = left.join(tied, "doc", "left_anti")
+    groups = star_links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("comp"))
     pairs = _candidates(_cells(rows.drop("tokens"), groups, num, den), num, den)
     links = saved(_verified(pairs, rows, num, den), "links")
     copies = sets.where("n > 0 AND id IS NOT NULL")
