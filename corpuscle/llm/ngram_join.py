@@ -404,4 +404,4 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)
     Rows without doc_id stay; rows of one doc_id stay or go together.
     """
     gone = saved(ngram_jaccard_join(docs, n, threshold).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
