@@ -87,7 +87,7 @@ def match_text(c) -> Column:
 
 def sentences(c) -> Column:
     """Parts between full-width or exclamation and question marks and line ends; ASCII full stops don't end one."""
-    return F.filter(F.transform(F.split(col(c), r"[。！？!?]+|\n+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(c), r"[。！？!?]+|\n+"), lambda s: F.trim(s)), lambda x: x != "")
 
 
 def slices(c, width: int = 120) -> Column:

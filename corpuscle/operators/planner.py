@@ -76,7 +76,7 @@ def keyword_text(c="normalized") -> Column:
     """Anchors and domain terms of a regulation query, else the words that aren't stop-words, else all words."""
     q = col(c)
     clause, table = F.regexp_extract(q, CLAUSE, 1), F.regexp_extract(q, TABLE, 1)
-    terms = F.array_distinct(F.filter(F.concat(F.array(clause, table, F.when(table != "", F.concat(F.lit("表"), table)).otherwise("")), F.transform(F.regexp_extract_all(q, F.lit(KEYWORD), F.lit(0)), F.trim)), lambda x: x != ""))
+    terms = F.array_distinct(F.filter(F.concat(F.array(clause, table, F.when(table != "", F.concat(F.lit("表"), table)).otherwise("")), F.transform(F.regexp_extract_all(q, F.lit(KEYWORD), F.lit(0)), lambda s: F.trim(s))), lambda x: x != ""))
     words = _words(q)
     kept = F.filter(words, lambda x: ~F.lower(x).isin(KEYWORD_STOP_WORDS))
     free = F.array_join(F.when(F.size(kept) > 0, kept).otherwise(words), " ")

@@ -1,6 +1,6 @@
 """All queries of the library itself."""
 
-from . import planning, retrieval, state  # noqa: F401
+from . import planning, retrieval, state, structure  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
