@@ -14,7 +14,6 @@ import base64
 import functools
 import hashlib
 import heapq
-import re
 from collections.abc import Callable
 
 import numpy as np
@@ -28,33 +27,42 @@ from .perfect_hash import PerfectHash
 
 #: Units whose ids a task keeps.
 KEPT = 600_000
-_ODD = re.compile(r"[^\S \n]")
-_RUN = re.compile(r"\s[ \n]")
-_UNIT = re.compile(r"[ \n]?[^ \n]+")
+def split_units(text: str | None) -> list[str] | None:
+    """Words of a text with one blank or line end between any two, as keys of a UnitCache; None for any other text.
 
+    A word after a blank is its own key, one after a line end keeps that, and the first has a mark.
+    """
+    if not text or "\0" in text:
+        return None
+    units = text.replace("\n", " \n").split(" ")
+    if len(text.split()) != len(units):
+        return None
+    units[0] = "\0" + units[0]
+    return units
 
-def runs(text: str) -> bool:
-    """White space before a blank or line end, or at the text's end: units can't be told apart there."""
-    if text[-1].isspace() or "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
-        return True
-    return bool(_ODD.search(text) and _RUN.search(text))
+
+def unit_text(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
 
 
 class UnitCache:
-    """Encodings by unit - a word with the blank or line end before it - for patterns that never join across one."""
+    """Encodings by unit - a word with the blank or line end before it - for patterns that never join across one.
+
+    Texts with other white space, or more of it, are encoded whole.
+    """
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT):
         self.encode, self.kept, self.known = encode, kept, {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids, in the bytes that encode gives; units new to the table are encoded together."""
-        split = [_UNIT.findall(t) if t and not runs(t) else None for t in texts]
+        split = [split_units(t) for t in texts]
         met = set().union(*filter(None, split))
         new = list(met.difference(self.known))
         if len(self.known) + len(new) > self.kept:
             self.known.clear()
             new = list(met)
-        self.known.update(zip(new, self.encode(new), strict=True))
+        self.known.update(zip(new, self.encode([unit_text(u) for u in new]), strict=True))
         ids = self.known.__getitem__
         return [b"".join(map(ids, u)) if u is not None else self.encode([t])[0] if t else b"" for t, u in zip(texts, split, strict=True)]
 
