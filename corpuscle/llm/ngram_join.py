@@ -12,8 +12,8 @@ that occur once first and frequent ones last, so documents that only share passa
 2. Frequent tokens are those whose summed counts reach `max(32, tokens / 2**20)`: at most 2**20 of them, broadcast.
 3. A count-min sketch over a fixed share of all tokens (those with low hashes, enough to fill the keys) tells tokens
    that occur once, and a second one, over the keys, documents that share none with any other: these are finished.
-4. Every document is checked against the nearest of the centres of its keys (documents with few rare tokens and of the
-   usual size), and the untied ones once more: one verified link for each member of a dense group, not all its pairs.
+4. Every document is checked against the nearest, by their points, of the centres of its keys: one verified link for
+   each member of a dense group, not all its pairs.  What these links connect is a group.
 5. Keys whose documents are not all linked already go to the R-trees, in cells of at most about 2 * CELL points: the
    dominant group of a key is cut into parts that need not meet each other.  Trees join node by node, passing over
    boxes of the same group, of sizes that can't match, and of too little summed minima.  Pairs found are verified.
@@ -42,8 +42,6 @@ from .substring_dedup import grams, word_hashes
 GROUPS = 64
 LEAF = 32
 CELL = 2048
-#: Times that documents not yet tied are offered a centre.
-STAR_ROUNDS = 2
 #: Tokens of which a task counts repeats at a time.
 TALLY = 1 << 22
 
@@ -175,18 +173,21 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
     return saved(docs.mapInArrow(run, "doc long, n long, rare long, keys array<long>, places array<int>, point binary, tokens binary"), "points")
 
 
-def _bounded(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs a, b whose points allow the threshold."""
+def _nearest(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """For each a the b of its pairs whose point allows the largest similarity, if that reaches the threshold."""
     left = rows.select(F.col("doc").alias("a"), F.col("point").alias("p"))
     right = rows.select(F.col("doc").alias("b"), F.col("point").alias("q"))
 
     def run(batches):
         for batch in batches:
             p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for i in (2, 3))
-            keep = (num + den) * np.minimum(p, q).sum(axis=1) >= num * (p + q).sum(axis=1)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+            both = np.minimum(p, q).sum(axis=1)
+            total = (p + q).sum(axis=1)
+            keep = pa.array((num + den) * both >= num * total)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both / (total - both))], ["a", "b", "most"]).filter(keep)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long, most double")
+    return found.groupBy("a").agg(F.max_by("b", "most").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -277,16 +278,17 @@ def tree_join(points: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.nda
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """a, b: each document and the centre it is nearest to, of those under its keys.
+    """a, b: each document and the centres of its keys.
 
-    A key's centre has few rare tokens and about the usual size: copies with few changes are near to all others.
+    A key has two centres: one with few rare tokens and about the usual size, as copies with few changes have, and one
+    by a hash.
     """
     keyed = rows.select("doc", "n", "rare", F.explode("keys").alias("key"))
     usual = keyed.groupBy("key").agg(F.percentile_approx("n", 0.5, 100).alias("usual"), F.count("*").alias("c")).where("c > 1")
-    centres = keyed.join(usual, "key").groupBy("key").agg(F.min_by(F.struct("doc", "n", "rare"), F.col("rare") + F.abs(F.col("n") - F.col("usual"))).alias("x"))
-    centres = centres.select("key", F.col("x.doc").alias("centre"), F.col("x.n").alias("m"), F.col("x.rare").alias("odd"))
-    far = F.col("odd") + F.abs(F.col("n") - F.col("m"))
-    return keyed.join(centres, "key").where("doc <> centre").groupBy(F.col("doc").alias("a")).agg(F.min_by("centre", far).alias("b"))
+    far = F.col("rare") + F.abs(F.col("n") - F.col("usual"))
+    centres = keyed.join(usual, "key").groupBy("key").agg(F.min_by("doc", far).alias("x"), F.min_by("doc", F.xxhash64("doc")).alias("y"))
+    pairs = keyed.select("key", "doc").join(centres, "key").select(F.col("doc").alias("a"), F.explode(F.array("x", "y")).alias("b"))
+    return pairs.where("a <> b").distinct()
 
 
 def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -373,13 +375,8 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     bits = spark.sparkContext.broadcast(repeated_bits(docs, keys_of, width_for((keys or 0) / 4), rows=4096))
     rows = _join_rows(docs, n, order, bits, num, den)
 
-    star_links, left = None, rows
-    for _ in range(STAR_ROUNDS):
-        found = saved(_verified(_bounded(_stars(left), rows, num, den), rows, num, den), "stars")
-        star_links = found if star_links is None else star_links.union(found)
-        tied = found.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-        left = left.join(tied, "doc", "left_anti")
-    groups = star_links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("comp"))
+    star_links = saved(_verified(_nearest(_stars(rows), rows, num, den), rows, num, den), "stars")
+    groups = connected_components(star_links, "groups").select(F.col("vertex").alias("doc"), F.col("component").alias("comp"))
     pairs = _candidates(_cells(rows.drop("tokens"), groups, num, den), num, den)
     links = saved(_verified(pairs, rows, num, den), "links")
     copies = sets.where("n > 0 AND id IS NOT NULL")
