@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .perfect_hash import PerfectHash
 
 #: Units whose ids a task keeps.
-KEPT = 600_000
+KEPT = 250_000
 def split_units(text: str | None) -> list[str] | None:
     """Words of a text with one blank or line end between any two, as keys of a UnitCache; None for any other text.
 

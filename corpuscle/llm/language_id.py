@@ -163,7 +163,7 @@ def sample(labelled: DataFrame, per_language: int) -> tuple[list[np.ndarray], li
     return [p for p, _ in found], [lang for _, lang in found]
 
 
-def predict(net: Network, batch: list[bytes | None], at_once: int = 4096) -> tuple[list[str], list[float]]:
+def predict(net: Network, batch: list[bytes | None], at_once: int = 2048) -> tuple[list[str], list[float]]:
     """Most probable language and its probability for each text, reading all of it in windows."""
     letters = [b is not None and bool(_LETTER.search(b.decode("utf-8", "replace"))) for b in batch]
     cleaned = [clean(b) if ok else np.zeros(0, np.uint8) for b, ok in zip(batch, letters, strict=True)]
