@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,14 +157,29 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
     """row (the document as it came), n_words, n_removed, kept_sha256, kept_text (null where nothing is removed)."""
     text = F.col("text").cast("string")
     docs = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), text.alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
-    joined = docs.join(repeated_starts(docs, window), ["d1", "d2"], "left").select("row", "text", "copies", "starts")
+    info = repeated_starts(docs, window)
+
+    def pack(batches):
+        """Texts take the way through the shuffle compressed."""
+        z = zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                packed = pa.array([None if b is None else z.compress(b) for b in texts(batch.column(1))], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), packed, batch.column(2), batch.column(3)], ["row", "packed", "d1", "d2"])
+
+    kinds = [("packed", T.BinaryType()), ("d1", T.LongType()), ("d2", T.LongType())]
+    packed = docs.mapInArrow(pack, T.StructType([docs.schema["row"], *(T.StructField(n, k) for n, k in kinds)]))
+    joined = packed.join(info, ["d1", "d2"], "left").select("row", "packed", "copies", "starts")
 
     def run(batches):
+        z = zstandard.ZstdDecompressor()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 batch = whole.slice(start, 256)
                 out: list[list] = [[], [], [], []]
-                for b, copies, starts in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for packed, copies, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                    b = z.decompress(packed) if packed is not None else None
                     words = b.split() if b is not None else []
                     n, removed = len(words), 0
                     if n >= window and copies is not None:
