@@ -341,10 +341,10 @@ def _cells(rows: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     inside = F.when(F.col("total") <= CELL, F.lit(0)).otherwise(F.ceil(F.col("top") / CELL).cast("int"))
     rest = F.when(F.col("total") <= CELL, F.lit(1)).otherwise(F.ceil((F.col("total") - F.col("top")) / CELL).cast("int"))
     r = r.withColumns({"parts": inside, "others": rest, "deal": F.xxhash64("doc", "key")})
-    cell = lambda i, j: F.shiftleft(i.cast("long"), 32).bitwiseOR(j.cast("long"))  # noqa: E731  i 0: among the others
+    cell = lambda i, j: F.shiftleft(i.cast("long"), 40).bitwiseOR(j.cast("long"))  # noqa: E731  i 0: among the others
     i, j = F.pmod("deal", F.greatest("parts", F.lit(1))).cast("int") + 1, F.pmod("deal", "others").cast("int")
     span = lambda n: F.sequence(F.lit(0), n - 1)
-    pair = lambda k: cell(F.lit(0), F.least(j, k) * F.lit(1 << 16) + F.greatest(j, k))
+    pair = lambda k: cell(F.lit(0), F.shiftleft(F.least(j, k).cast("long"), 20) + F.greatest(j, k))
     dominant = F.transform(span(F.col("others")), lambda k: cell(i, k))
     other = F.concat(F.transform(F.filter(F.sequence(F.lit(0), F.col("parts")), lambda k: k > 0), lambda k: cell(k, j)), F.transform(span(F.col("others")), pair))
     lone = F.array(F.lit(0).cast("long"))
