@@ -128,6 +128,22 @@ def test_ngram_join_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_links(rows, 3, 9, 10)
 
 
+def test_ngram_join_cuts_crowded_keys(spark, monkeypatch):
+    from corpuscle.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "CELL", 3)
+    local = np.random.default_rng(4)
+    base = [f"w{x}" for x in local.integers(0, 5000, 60)]
+    rows = []
+    for i in range(80):
+        w = list(base)
+        for at in local.integers(0, 60, local.integers(0, 5)):
+            w[at] = f"v{at}x{local.integers(3)}"
+        rows.append((i, " ".join(w)))
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 2, (9, 10)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_links(rows, 2, 9, 10)
+
+
 def test_one_of_each(docs, none):
     kept = [r.doc_id for r in one_of_each(docs).collect()]
     assert 0 in kept and 2 not in kept and 1 not in kept and None in kept
