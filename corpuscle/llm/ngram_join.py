@@ -43,7 +43,7 @@ GROUPS = 64
 LEAF = 32
 CELL = 2048
 #: Tokens of which a task counts repeats at a time.
-TALLY = 1 << 22
+TALLY = 1 << 21
 
 
 def token_set(text: bytes | None, n: int) -> np.ndarray:
