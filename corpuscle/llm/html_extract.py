@@ -1,13 +1,15 @@
-"""Main text of web pages by wrappers inferred for each host.
+"""Main text of web pages by wrappers inferred for each layout of each host.
 
-A wrapper is a union-free regular expression over the host's token streams, kept as a tree of elements.  It starts as
-one page and is aligned with further ones: children met several times side by side become a repeated group, children
-that one side lacks become optional, text that differs becomes a slot, equal text stays template.  Inference sees at
-most SAMPLE pages of a host, chosen by a hash; every page is then read through its host's wrapper.
+A page's layout is the set of paths of its frames (div, section, article and their like, less those named as menus,
+adverts and so on).  A wrapper is a tree of the element paths that pages of one host and layout have, merged over all of
+them: children of one key are one node, repeated if a page has several; text that differs is a slot, equal text stays
+template.  Merging is associative and commutative, so tasks merge their own pages first, and only merged trees are
+shuffled.  Every page is then read through its layout's wrapper, or through its own where no other page shares the layout.
 
 The wrapper says which parts hold the article: the parts named `article` or `main`, or else the part with most of the
 text, less those that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their name, mostly
-links, or template text.  Parts the sample didn't show are judged by their names.
+links, or template text.  Text is template if all pages of the layout have it and the layout has at least three different
+contents; copies of one article are one content.
 
 Nulls: a null or empty page has an empty text.  A page whose host isn't known, or null, belongs to the host ''.  Rows
 repeat freely.  Other columns are ignored.
@@ -15,19 +17,22 @@ repeat freely.  Other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 
-SAMPLE = 12
+#: Pages whose trees a task merges before it passes them on.
+MERGED = 2048
+#: Different contents from which on equal text is template.
+CONTENTS = 3
 #: Bytes of wrappers that go to the tasks as one broadcast; beyond, pages are joined to them.
 BROADCAST_BYTES = 32 << 20
 
@@ -45,6 +50,9 @@ _DROP_NAMES = frozenset("""ad ads advert adverts advertisement banner sponsor sp
     disqus feedback newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs pagination pager nav navbar
     navigation menu topbar footer foot header masthead toolbar widget widgets toc skip login search complementary contentinfo form""".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+_FRAME = frozenset("html body div section article main aside nav header footer form dialog center table".split())
+
+_NAMES = _DROP_NAMES | {"main"}
 
 
 class Node:
@@ -59,6 +67,7 @@ class Node:
         self.key = tag + "".join(f".{x}" for x in sorted(set(re.sub(r"\d+", "", label).split())))
         if "hidden" in attrs.split() or found.get("aria-hidden") == "true":
             self.names |= {"popup"}
+            self.key += "!"
 
 
 def parse(page: str) -> Node:
@@ -113,90 +122,111 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper node: key, tag, names; many: repeated; opt: optional; kids: child nodes in order; own: text of its own, null
-# for a slot; seen: pages it was met in; chars, links: text sizes within it.
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+
+
+# A wrapper node: tag, names; many: repeated in a page; own: hash of a text of its own, 0 without, null for a slot; seen: pages
+# it was met in; chars, links: text sizes within it; kids: child nodes by key.
 def _wrap(node: Node) -> dict:
-    own = " ".join(" ".join(html.unescape(k[0]) for k in node.kids if isinstance(k, tuple)).split())
+    own = _own(node)
     linked = sum(len(k[0].strip()) for k in node.kids if isinstance(k, tuple) and k[1])
-    w = {"key": node.key, "tag": node.tag, "names": sorted(node.names), "many": False, "opt": False, "own": own, "kids": [], "seen": 1, "chars": len(own), "links": linked}
-    w["kids"] = _fold([_wrap(k) for k in node.kids if isinstance(k, Node)])
-    w["chars"] += sum(k["chars"] for k in w["kids"])
-    w["links"] += sum(k["links"] for k in w["kids"])
+    w = {"tag": node.tag, "names": sorted(node.names & _NAMES), "many": False, "own": _hash(own) if own else 0, "seen": 1, "chars": len(own), "links": linked, "kids": {}}
+    for k in node.kids:
+        if isinstance(k, Node):
+            x = _wrap(k)
+            w["chars"] += x["chars"]
+            w["links"] += x["links"]
+            if k.key in w["kids"]:
+                _merge(w["kids"][k.key], x, False)
+                w["kids"][k.key]["many"] = True
+            else:
+                w["kids"][k.key] = x
     return w
 
 
-def _fold(kids: list[dict]) -> list[dict]:
-    """Equal elements side by side are one repeated group."""
-    out: list[dict] = []
-    for k in kids:
-        if out and out[-1]["key"] == k["key"]:
-            out[-1] = _align(out[-1], k, False)
-            out[-1]["many"] = True
-        else:
-            out.append(k)
-    return out
-
-
-def _align(a: dict, b: dict, pages: bool = True) -> dict:
-    """Both nodes in one: what only one has is optional, text that differs is a slot."""
-    x = dict(a)
-    x["many"], x["opt"] = a["many"] or b["many"], a["opt"] or b["opt"]
-    x["own"] = a["own"] if a["own"] == b["own"] else None
-    x["seen"] = a["seen"] + b["seen"] if pages else max(a["seen"], b["seen"])
-    x["chars"], x["links"] = a["chars"] + b["chars"], a["links"] + b["links"]
-    p, q = a["kids"], b["kids"]
-    best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-    for i in range(len(p) - 1, -1, -1):
-        for j in range(len(q) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if p[i]["key"] == q[j]["key"] else max(best[i + 1][j], best[i][j + 1])
-    kids, i, j = [], 0, 0
-    while i < len(p) or j < len(q):
-        if i < len(p) and j < len(q) and p[i]["key"] == q[j]["key"]:
-            kids.append(_align(p[i], q[j], pages))
-            i, j = i + 1, j + 1
-        elif j >= len(q) or i < len(p) and best[i + 1][j] >= best[i][j + 1]:
-            kids.append(p[i] | {"opt": True})
-            i += 1
-        else:
-            kids.append(q[j] | {"opt": True})
-            j += 1
-    merged: list[dict] = []
-    for k in kids:  # an optional element beside an equal one belongs to its group
-        if merged and merged[-1]["key"] == k["key"]:
-            merged[-1] = _align(merged[-1], k, False) | {"many": True}
+def _own(node: Node) -> str:
+    return " ".join(" ".join(html.unescape(k[0]) for k in node.kids if isinstance(k, tuple)).split())
+
+
+def _merge(a: dict, b: dict, pages: bool = True) -> None:
+    """Both nodes in a; of different pages, or of one."""
+    a["many"] = a["many"] or b["many"]
+    if a["names"] != b["names"]:
+        a["names"] = sorted(set(a["names"]) & set(b["names"]))
+    if a["own"] != b["own"]:
+        a["own"] = None
+    a["seen"] = a["seen"] + b["seen"] if pages else max(a["seen"], b["seen"])
+    a["chars"] += b["chars"]
+    a["links"] += b["links"]
+    for key, x in b["kids"].items():
+        if key in a["kids"]:
+            _merge(a["kids"][key], x, pages)
         else:
-            merged.append(k)
-    x["kids"] = merged
-    return x
+            a["kids"][key] = x
+
+
+def layout(root: Node) -> str:
+    """The page's layout: a digest of the paths of its frames, without those that go by their names."""
+    paths: set[str] = set()
+
+    def walk(n: Node, path: str, inside: bool):
+        paths.add(path)
+        for k in n.kids:
+            if isinstance(k, Node) and k.tag in _FRAME and not named_out(k.tag, k.names, inside):
+                walk(k, f"{path}>{k.key}", inside or k.tag in ("article", "main"))
+
+    walk(root, "", False)
+    return hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def content(root: Node) -> int:
+    """A hash of the page's texts, without the parts that go by their names."""
+    texts: list[str] = []
+
+    def walk(n: Node, inside: bool):
+        texts.append(_own(n))
+        for k in n.kids:
+            if isinstance(k, Node) and not named_out(k.tag, k.names, inside):
+                walk(k, inside or k.tag in ("article", "main"))
+
+    walk(root, False)
+    return _hash("\n".join(texts))
+
+
+def _add(held: tuple[dict, list[int]] | None, tree: dict, contents: list[int]) -> tuple[dict, list[int]]:
+    """Merged trees with the smallest hashes of their contents, CONTENTS at most: more make no difference."""
+    if held is None:
+        return tree, contents
+    _merge(held[0], tree)
+    return held[0], sorted({*held[1], *contents})[:CONTENTS]
 
 
 def infer(pages: Iterator[str]) -> dict | None:
-    """The wrapper of some pages of one host, judged: each node has keep."""
-    wrapper = None
+    """The wrapper of some pages of one host and layout, judged: each node has keep."""
+    held = None
     for p in pages:
-        w = _wrap(parse(p))
-        wrapper = w if wrapper is None else _align(wrapper, w)
-    if wrapper is not None:
-        _judge(wrapper)
-    return wrapper
+        root = parse(p)
+        held = _add(held, _wrap(root), [content(root)])
+    return _judge(*held) if held else None
 
 
 def named_out(tag: str, names, inside: bool = False) -> bool:
     return tag in _DROP_TAGS or tag == "header" and not inside or bool(_DROP_NAMES.intersection(names))
 
 
-def _judge(w: dict) -> None:
-    pages = w["seen"]
+def _judge(w: dict, contents: list[int]) -> dict:
+    pages, several = w["seen"], len(contents) >= CONTENTS
 
     def drop(n: dict, inside: bool = False):
-        fixed = n["own"] and not n["kids"] and n["seen"] >= 3 and n["seen"] == pages and not n["many"] and n["tag"] not in _HEADING
+        fixed = several and n["own"] and not n["kids"] and n["seen"] == pages and not n["many"] and n["tag"] not in _HEADING
         linky = n["chars"] >= 20 and n["links"] > 0.5 * n["chars"]
         n["drop"] = named_out(n["tag"], n["names"], inside) or bool(fixed) or linky
-        for k in n["kids"]:
+        for k in n["kids"].values():
             drop(k, inside or n["tag"] in ("article", "main"))
 
     def size(n: dict) -> int:
-        return 0 if n["drop"] else n["chars"] - sum(k["chars"] - size(k) for k in n["kids"])
+        return 0 if n["drop"] else n["chars"] - sum(k["chars"] - size(k) for k in n["kids"].values())
 
     drop(w)
     mains: list[dict] = []
@@ -207,7 +237,7 @@ def _judge(w: dict) -> None:
         if (n["tag"] in tags or "main" in n["names"] and "main" in tags) and size(n):
             mains.append(n)
         else:
-            for k in n["kids"]:
+            for k in n["kids"].values():
                 marked(k, tags)
 
     marked(w, ("article",))
@@ -215,7 +245,7 @@ def _judge(w: dict) -> None:
         marked(w, ("main",))
     if not mains:
         n = w  # descend while one part has most of the text
-        while (big := max(n["kids"], key=size, default=None)) is not None and not big["many"] and big["kids"] and size(big) > 0.6 * size(n):
+        while (big := max(n["kids"].values(), key=size, default=None)) is not None and not big["many"] and big["kids"] and size(big) > 0.6 * size(n):
             n = big
         mains = [n]
     chosen = {id(n) for n in mains}
@@ -223,37 +253,23 @@ def _judge(w: dict) -> None:
     def keep(n: dict, inside: bool):
         inside = (inside or id(n) in chosen) and not n["drop"]
         n["keep"] = inside
-        for k in n["kids"]:
+        for k in n["kids"].values():
             keep(k, inside)
 
     keep(w, False)
+    return w
 
 
 def slim(w: dict | None) -> dict | None:
-    """What extraction needs: keep and the children by key; nodes of one key in several places keep if one does."""
-    if w is None:
-        return None
-    kids: dict[str, dict] = {}
-    for k in w["kids"]:
-        s = slim(k)
-        if k["key"] in kids:
-            s = _both(kids[k["key"]], s)
-        kids[k["key"]] = s
-    return {"keep": w["keep"], "drop": w["drop"], "kids": kids}
-
-
-def _both(a: dict, b: dict) -> dict:
-    kids = dict(a["kids"])
-    for k, v in b["kids"].items():
-        kids[k] = _both(kids[k], v) if k in kids else v
-    return {"keep": a["keep"] or b["keep"], "drop": a["drop"] and b["drop"], "kids": kids}
-
-
-def extract(page: str | None, wrapper: dict | None) -> str:
+    """What extraction needs: keep and the children by key."""
+    return None if w is None else {"keep": w["keep"], "kids": {key: slim(k) for key, k in w["kids"].items()}}
+
+
+def extract(page: str | None, wrapper: dict | None, root: Node | None = None) -> str:
     """Blocks of the kept parts in page order, white space in each made single, joined by line ends."""
     if not page:
         return ""
-    root = parse(page)
+    root = root or parse(page)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -283,47 +299,100 @@ def extract(page: str | None, wrapper: dict | None) -> str:
     return "\n".join(blocks)
 
 
-def _page_text(page: str | None, wrapper: dict | None) -> str:
-    found = extract(page, wrapper)
-    if not found and page and page.strip():  # a page of another kind than its host's sample: its own wrapper
-        found = extract(page, slim(infer(iter([page]))))
-    return found
-
-
-def html_extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def _page_text(page: str | None, wrapper_of) -> str:
+    """wrapper_of: the wrapper of a layout, None where only one page has it."""
+    if not page:
+        return ""
+    root = parse(page)
+    if wrapper := wrapper_of(layout(root)):
+        if found := extract(page, wrapper, root):
+            return found
+    return extract(page, slim(_judge(_wrap(root), [])), root)
+
+
+def _trees(batches):
+    """host, layout, tree (with contents) of the pages (host, html) of a task, merged."""
+    held: dict[tuple[str, str], tuple[dict, list[int]]] = {}
+
+    def out():
+        rows = [(*key, json.dumps(x, separators=(",", ":"))) for key, x in held.items()]
+        held.clear()
+        for at in range(0, len(rows), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 256]], pa.string()) for i in range(3)], ["host", "layout", "tree"])
+
+    n = 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            batch = whole.slice(at, 128)
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                root = parse(page)
+                key = host, layout(root)
+                held[key] = _add(held.get(key), _wrap(root), [content(root)])
+            n += batch.num_rows
+            if n >= MERGED:
+                yield from out()
+                n = 0
+    yield from out()
+
+
+def _wrappers(batches):
+    """host, layout, wrapper of trees sorted by host and layout; without layouts that one page has alone."""
+    here, held = None, None
+
+    def out():
+        if held and held[0]["seen"] > 1:
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (*here, json.dumps(slim(_judge(*held)), separators=(",", ":")))], ["host", "layout", "wrapper"])
+
+    for batch in batches:
+        for *key, tree in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if key != here:
+                yield from out()
+                here, held = key, None
+            held = _add(held, *json.loads(tree))
+    yield from out()
+
+
+def html_extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     pages = pages.withColumn("host", host)
-    order = Window.partitionBy("host").orderBy("h", "page_id")
-    some = pages.where("html IS NOT NULL AND html <> ''").select("host", "html", F.xxhash64("url", "page_id").alias("h"), "page_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(slim(infer(iter(pdf.sort_values("k")["html"]))))]})
-
-    wrappers = saved(some.select("host", "k", "html").groupBy("host").applyInPandas(group, "host string, wrapper string"), "wrappers")
-    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    trees = pages.where("html IS NOT NULL AND html <> ''").select("host", "html").mapInArrow(_trees, "host string, layout string, tree string")
+    wrappers = saved(trees.repartition("host", "layout").sortWithinPartitions("host", "layout").mapInArrow(_wrappers, "host string, layout string, wrapper string"), "wrappers")
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("layout") + F.octet_length("host"))).first()[0] or 0
     rows = pages.select("page_id", "url", "html", "host")
     known = None
     if size <= BROADCAST_BYTES:
-        known = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in wrappers.toLocalIterator()})
+        known = pages.sparkSession.sparkContext.broadcast({(r.host, r.layout): r.wrapper for r in wrappers.toLocalIterator()})
         rows = rows.withColumn("wrapper", F.lit(None).cast("string"))
     else:
-        rows = rows.join(wrappers, "host", "left").select("page_id", "url", "html", "host", "wrapper")
+
+        def named(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, 128):
+                    batch = whole.slice(at, 128)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([layout(parse(p)) if p else None for p in batch.column(2).to_pylist()], pa.string())], [*batch.schema.names, "layout"])
+
+        rows = rows.mapInArrow(named, "page_id long, url string, html string, host string, layout string")
+        rows = rows.join(wrappers, ["host", "layout"], "left").select("page_id", "url", "html", "host", "wrapper")
 
     def run(batches):
-        read: dict[str, dict | None] = {}
+        read: dict[tuple[str, str], dict | None] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
                 out = []
                 for page, h, w in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                    if h not in read:
-                        if len(read) > 2000:
-                            read.clear()
-                        w = known.value.get(h) if known else w
-                        read[h] = json.loads(w) if w else None
-                    out.append(_page_text(page, read[h]))
+
+                    def wrapper_of(kind, h=h, w=w):
+                        if (h, kind) not in read:
+                            if len(read) > 2000:
+                                read.clear()
+                            x = known.value.get((h, kind)) if known else w
+                            read[h, kind] = json.loads(x) if x else None
+                        return read[h, kind]
+
+                    out.append(_page_text(page, wrapper_of))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

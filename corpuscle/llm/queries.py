@@ -42,7 +42,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract(table(spark, sf_dir, "pages"), sample=12)
+    return html_extract(table(spark, sf_dir, "pages"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

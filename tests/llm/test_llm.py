@@ -249,6 +249,19 @@ def test_html_extract(spark):
     assert extract(body, slim(infer(iter([body])))) == "Head\nFirst para that is long enough to be the text.\nSecond para"
 
 
+def test_html_extract_reads_every_layout_of_a_host(spark):
+    body = [f"Body {i} has a text of its own, which is long enough to be the main part." for i in range(400)]
+    usual = [(i, "http://h.example/a", f"<body><div id=content><h1>Usual {i}</h1><p>{body[i]}<p>more {i}</div></body>") for i in range(300)]
+    rare = [(i, "http://h.example/b", f"<body><div id=content><h1>Rare {i}</h1></div><div id=story><p>{body[i]}<p>more {i}</div></body>") for i in range(300, 303)]
+    alone = [(310, "http://h.example/c", f"<body><div id=content><h1>Alone</h1></div><div id=tale><p>{body[310]}<p>more</div></body>")]
+    copies = [(i, f"http://copies.example/{i}", f"<body><nav>{i}</nav><div id=content><h2>One</h2><div><p>{body[0]}</p></div></div></body>") for i in range(320, 340)]
+    fixed = [(i, f"http://fixed.example/{i}", f"<body><div id=content><h2>One</h2><div><p>{body[i]}<p>more</div><div class=rights>All pages say this.</div></div></body>") for i in range(340, 343)]
+    got = {r.page_id: r.text for r in html_extract(spark.createDataFrame([*usual, *rare, *alone, *copies, *fixed], "page_id long, url string, html string").repartition(5)).collect()}
+    assert all(body[i] in got[i] and f"more {i}" in got[i] for i in range(303)) and body[310] in got[310]
+    assert all(body[0] in got[i] for i in range(320, 340))
+    assert all(body[i] in got[i] and "All pages" not in got[i] for i in range(340, 343))
+
+
 @pytest.fixture(scope="module")
 def multi():
     return queries.tokenizer_file("byte_bpe_multi_50k.tiktoken"), queries.token_pattern()
