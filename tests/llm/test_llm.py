@@ -351,6 +351,21 @@ def test_license_scan(spark, docs, none):
     assert license_scan.license_scan(docs).count() == docs.count() and license_scan.license_scan(none).count() == 0
 
 
+def test_license_scan_within_sentences():
+    named = lambda text: [f[0] for f in license_scan.scan(text)]
+    assert named("These tools were written by Jane Doe in 2019 and are released under the MIT License.") == ["MIT"]
+    assert named("Copyright (c) 2019 the authors of the parser, Released under the MIT License.") == ["MIT"]
+    assert named("This project is licensed under the MIT License - see the LICENSE file for details.") == ["MIT"]
+    assert named("All of the code in this folder that we wrote ourselves is licensed under the Apache License, Version 2.0.") == ["Apache-2.0"]
+    assert named("All of it is released under\nthe MIT License. Parts are Licensed under CC BY-SA 4.0. The rest: licensed under\nCC BY 4.0, or not.") == ["MIT", "CC-BY-SA-4.0", "CC-BY-4.0"]
+    for k, (name, template) in enumerate(license_scan.TEMPLATES):
+        broken = template.replace(" ", "\n", 3)
+        text = f"Some words go before it here, {broken} and some other words follow, {template} The end"
+        got = license_scan.scan(text)
+        assert [f[0] for f in got] == [name] * 2 and [text[f[1] : f[1] + f[2]] for f in got] == [broken, template], k
+    assert not named("It isn't released under the GPL License, nor any license of version 7.")
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
