@@ -35,17 +35,19 @@ NEAR = 64
 MISS = 0.02
 
 
-def _usable(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> tuple[DataFrame, int]:
-    """Distinct usable vectors: v, ids (the smallest k + 1)."""
+def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """Usable vectors of any length: id, v, and h1, h2 for an equal v."""
     v = F.col(vector_col)
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = common.n if common else 1
-    rows = rows.where(F.size("v") == dim).select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    return rows.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+
+
+def _entries(rows: DataFrame, k: int) -> DataFrame:
+    """Distinct vectors: v, ids (the smallest k + 1 different ones)."""
     first = Window.partitionBy("h1", "h2").orderBy("id")
-    rows = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
-    return rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_set("id")).alias("ids")).select("v", "ids"), dim
+    rows = rows.dropDuplicates(["h1", "h2", "id"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    return rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")).select("v", "ids")
 
 
 def _strings(x: np.ndarray, longest: float, query: bool, trees: int, seed: int) -> np.ndarray:
@@ -154,12 +156,14 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, miss: float = MISS, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k nearest found among all other rows, ties to the smaller id."""
-    entries, dim = _usable(vectors, id_col, vector_col, k)
-    entries = saved(entries, "vectors")
+    usable = _usable(vectors, id_col, vector_col)
+    common = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    usual = F.size("v") == (common.n if common else 1)
+    entries = saved(_entries(usable.where(usual), k), "vectors")
     n, longest = entries.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     cut = min(16, max(0, int(np.floor(np.log2(max(n, 1) / BUCKET)))))  # first bits that name a bucket
-    asked, _ = _usable(vectors.where(is_query), id_col, vector_col, 1 << 30)
-    asked = saved(asked.where(F.size("v") == dim).select("v", F.explode("ids").alias("i")).select("v", F.array("i").alias("ids")), "queries")
+    asked = _usable(vectors.where(is_query), id_col, vector_col).where(usual).dropDuplicates(["h1", "h2", "id"])
+    asked = saved(asked.select("v", F.array("id").alias("ids")), "queries")
     bucket = (F.shiftrightunsigned("key", BITS - cut) if cut else F.lit(0)).cast("int")
     base = _forest(entries, longest or 0.0, False, trees, seed).withColumn("bucket", bucket)
     full = base.groupBy("tree", "bucket").agg(F.count("*").alias("c")).select("tree", "bucket", F.ceil(F.col("c") / (2 * BUCKET)).cast("int").alias("parts"))

@@ -343,6 +343,19 @@ def test_nearest(spark):
     assert nearest(frame.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_counts_repeated_rows_once(spark):
+    local = np.random.default_rng(8)
+    one, other = local.normal(size=(2, 8)).tolist()
+    rows = [(i, one) for i in range(1, 31)] * 2 + [(40 + i, other) for i in range(8) for _ in range(1 if i else 30)] + [(0, [9.0, 9.0])] * 3
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(nearest(frame, F.col("vec_id").isin(0, 3, 20, 40), k=5).collect(), key=lambda r: r.rank):
+        got[r.query_id].append(r.vec_id)
+    assert got == {3: [1, 2, 4, 5, 6], 20: [1, 2, 3, 4, 5], 40: [41, 42, 43, 44, 45]}
+    few = frame.where("vec_id > 30").union(spark.createDataFrame([(i, [1.0]) for i in (100, 101)], frame.schema))
+    assert nearest(few, F.col("vec_id").isin(40, 100, 101), k=5).count() == 5
+
+
 def test_license_scan(spark, docs, none):
     gpl = dict((n, t) for n, t in license_scan.TEMPLATES if "2 of" in t)["GPL-2.0"]
     rows = [(1, "Words here.\nReleased under the MIT License. More words."), (2, gpl), (3, gpl.replace("version 2 of", "version 3 of")), (4, "No license is needed to fish here."), (5, "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0."), (6, "Licensed under CC BY 4.0.")]
