@@ -116,8 +116,7 @@ def _answers(t: Tables) -> DataFrame:
 
 @query(f"WITH {ANSWER} SELECT conv_id, turn, trim(regexp_replace(replace(answer, '[7]', ''), ' {{2,}}', ' ', 'g')) AS answer FROM x WHERE NOT regexp_matches(replace(replace(replace(answer, '[1]', ''), '[2]', ''), '[7]', ''), '\\[[0-9]+\\]')")
 def citation_sanitize(t: Tables) -> DataFrame:
-    rows = _answers(t).where(F.size(F.array_except(evaluate.cited("answer"), F.array(*(F.lit(i).cast("bigint") for i in (1, 2, 7))))) == 0)
-    return rows.select("conv_id", "turn", tx.sanitize_citations("answer", F.lit(3)).alias("answer"))
+    return _answers(t).select("conv_id", "turn", tx.sanitize_citations("answer", F.lit(3)).alias("answer"))
 
 
 @query(f"WITH {ANSWER} SELECT conv_id, turn, CAST(len({SENT}) AS INT) AS n_sentences, CAST(len(list_filter({SENT}, lambda s: regexp_matches(s, '{SIGNAL}') AND NOT regexp_matches(s, '\\[[0-9]+\\]'))) AS INT) AS n_uncited, array_to_string(list_transform({SENT}, lambda s: s || CASE WHEN regexp_matches(s, '{SIGNAL}') AND NOT regexp_matches(s, '\\[[0-9]+\\]') THEN ' [1]' ELSE '' END), ' ') AS repaired FROM x")
@@ -137,9 +136,8 @@ def stream_slices(t: Tables) -> DataFrame:
 
 @query(f"WITH {ANSWER} SELECT conv_id, turn, CASE WHEN (turn % 2 = 0 AND true) THEN 0.0 ELSE 1.0 END::DOUBLE AS correct FROM x WHERE NOT regexp_matches(replace(replace(replace(answer, '[1]', ''), '[2]', ''), '[7]', ''), '\\[[0-9]+\\]')")
 def citation_correctness(t: Tables) -> DataFrame:
-    rows = _answers(t).where(F.size(F.array_except(evaluate.cited("answer"), F.array(*(F.lit(i).cast("bigint") for i in (1, 2, 7))))) == 0)
     n = F.when(F.col("turn") % 2 == 0, 3).otherwise(7)
-    return rows.select("conv_id", "turn", evaluate.citation_correctness("answer", n).alias("correct"))
+    return _answers(t).select("conv_id", "turn", evaluate.citation_correctness("answer", n).alias("correct"))
 
 
 MATCH = "lower(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g'))"

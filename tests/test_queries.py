@@ -38,3 +38,19 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_answers_with_any_citation_are_judged(spark, tmp_path):
+    import re
+
+    texts = ["plain", "See [5] and [1].", "Twice [12] [12] here [3]", "[0] first", "no number [x] [2]"]
+    rows = [(i, turn, "assistant", text) for i, text in enumerate(texts) for turn in (1, 2)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    sanitized = {(r.conv_id, r.turn): r.answer for r in QUERIES["citation_sanitize"](spark, str(tmp_path)).collect()}
+    correct = {(r.conv_id, r.turn): r.correct for r in QUERIES["citation_correctness"](spark, str(tmp_path)).collect()}
+    for i, turn, _, text in rows:
+        answer = text + " [1] [7]  [2]"
+        kept = re.sub(r"\[(\d+)\]", lambda m: m[0] if 1 <= int(m[1]) <= 3 else "", answer)
+        assert sanitized[i, turn] == re.sub(" {2,}", " ", kept).strip()
+        n = 3 if turn % 2 == 0 else 7
+        assert correct[i, turn] == float(all(1 <= int(x) <= n for x in re.findall(r"\[(\d+)\]", answer)))
