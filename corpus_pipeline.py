@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuscle.llm.bpe import bpe_round_trip
 from corpuscle.llm.common import saved, table
 from corpuscle.llm.language_id import accepted
-from corpuscle.llm.mixing import mixed
+from corpuscle.llm.mixing import in_written_order, mixed
 from corpuscle.llm.ngram_join import one_of_each
 from corpuscle.llm.queries import token_pattern, tokenizer_file
 from corpuscle.llm.substring_dedup import without_repeats
@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the token ids and of the decoded bytes."""
-    return bpe_round_trip(docs, tokenizer_file("byte_bpe_multi_50k.tiktoken"), token_pattern())
+    """doc_id, n_tokens, digests of the token ids and of the decoded bytes, and the document's place in the mixture."""
+    return bpe_round_trip(in_written_order(docs), tokenizer_file("byte_bpe_multi_50k.tiktoken"), token_pattern(), "place")
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("substring_dedup", substring_dedup), ("mixing", mix), ("bpe", encode)]

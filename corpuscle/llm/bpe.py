@@ -131,8 +131,10 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes)."""
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, place: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the decoded bytes); and place,
+    a column of docs that goes with each document, if it is named."""
+    extra = [F.col(place).cast("long").alias("place")] if place else []
 
     def run(batches):
         c = codec(path, pattern)
@@ -144,7 +146,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(c.text.__getitem__, ids)).encode()).hexdigest())
                     bytes_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(bytes_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(bytes_sha), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *batch.schema.names[2:]])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", place long" if place else ""))

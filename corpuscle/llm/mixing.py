@@ -96,6 +96,16 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     return scheduled(docs, weights, block).select("row", "place").orderBy("place").select("row.*")
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """docs, read from Parquet files that Spark wrote, with place: from 0 in the order of the files' numbers and rows."""
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"))
+    counts = docs.select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count("*").alias("n"))
+    number = F.regexp_extract("file", r"part-(\d+)", 1).try_cast("long")
+    before = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    base = counts.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(F.broadcast(base), "file").select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("base") + F.col("at")).alias("place"))
+
+
 #: mix_schedule(documents) in DuckDB.
 MIX_SQL = """
 WITH RECURSIVE d AS (SELECT doc_id, text, coalesce(source, '') AS source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS mark FROM documents),

@@ -389,3 +389,19 @@ def test_pipeline(spark, sf_dir):
         assert at.columns == documents.columns, name
     out = corpus_pipeline.run(spark, sf_dir)
     assert 0 < out.count() <= documents.count() and os.path.exists(queries.tokenizer_file("byte_bpe_50k.json"))
+
+
+def test_pipeline_returns_the_mixture(spark):
+    import corpus_pipeline
+    from corpuscle.llm.common import saved
+
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    want = [r.doc_id for r in mix_schedule(many).orderBy("place").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        written = saved(corpus_pipeline.mix(spark, many, ""), "mixing")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(written.inputFiles()) > 1
+    got = corpus_pipeline.encode(spark, written, "").orderBy("place").collect()
+    assert [r.place for r in got] == list(range(3000)) and [r.doc_id for r in got] == want
