@@ -2,8 +2,9 @@
 
 A pre-token that is a vocabulary entry is resolved by a minimal perfect hash over the vocabulary (and a comparison of
 the bytes); any other is merged by a heap of candidate pairs over a linked list of its bytes, lowest rank first,
-leftmost among equals.  Tasks keep what they have resolved by blank-separated unit, in a table of bounded size that
-is emptied when full, so that their memory doesn't grow with the corpus.
+leftmost among equals.  Tasks keep what they have resolved by unit (a word and the white space before it), in a table of
+bounded size that is emptied when full, so that their memory doesn't grow with the corpus; texts are then looked up
+in that table as arrays.
 
 Nulls: a null text is an empty one.  Rows repeat freely.  Other columns of the input are ignored.
 """
@@ -13,8 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import heapq
-from collections.abc import Callable
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .perfect_hash import PerfectHash
+from .units import UnitTable
+from .words import ranges, slices
 
-#: Units whose ids a task keeps.
-KEPT = 250_000
-def split_units(text: str | None) -> list[str] | None:
-    """Words of a text with one blank or line end between any two, as keys of a UnitCache; None for any other text.
-
-    A word after a blank is its own key, one after a line end keeps that, and the first has a mark.
-    """
-    if not text or "\0" in text:
-        return None
-    units = text.replace("\n", " \n").split(" ")
-    if len(text.split()) != len(units):
-        return None
-    units[0] = "\0" + units[0]
-    return units
-
-
-def unit_text(key: str) -> str:
-    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
-
-
-class UnitCache:
-    """Encodings by unit - a word with the blank or line end before it - for patterns that never join across one.
-
-    Texts with other white space, or more of it, are encoded whole.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], kept: int = KEPT):
-        self.encode, self.kept, self.known = encode, kept, {}
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids, in the bytes that encode gives; units new to the table are encoded together."""
-        split = [split_units(t) for t in texts]
-        met = set().union(*filter(None, split))
-        new = list(met.difference(self.known))
-        if len(self.known) + len(new) > self.kept:
-            self.known.clear()
-            new = list(met)
-        self.known.update(zip(new, self.encode([unit_text(u) for u in new]), strict=True))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, u)) if u is not None else self.encode([t])[0] if t else b"" for t, u in zip(texts, split, strict=True)]
+#: Pre-tokens whose ids a task keeps.
+KEPT = 1 << 18
 
 
 class Codec:
@@ -79,35 +43,37 @@ class Codec:
         for at, w in zip(self.hash.number(keys).tolist(), words, strict=True):
             self.words[at] = w
         self.ids = [self.ranks[w] for w in self.words]
-        self.bytes = {i: w for w, i in self.ranks.items()}
-        self.text = {i: str(i) for i in self.bytes}
-        self.units = UnitCache(self._units)
+        self.bytes = _Table({i: w for w, i in self.ranks.items()})
+        self.text = _Table({i: b"%d," % i for i in self.ranks.values()})
+        self.units = UnitTable(self._units)
         self.merged: dict[bytes, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Pairs by rank from a heap; a pair whose ends have changed since is passed over."""
-        ranks, n = self.ranks, len(piece)
-        part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        """Pairs by rank from a heap, as rank, begin, end; a pair whose ends have changed since is passed over."""
+        get, n = self.ranks.get, len(piece)
+        end, before = list(range(1, n + 1)), list(range(-1, n))  # links; a part that is gone ends at 0
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, size = heapq.heappop(heap)
-            left = part[i]
-            if left is None or (j := after[i]) >= n or len(left) + len(part[j]) != size:
+            _, i, e = heappop(heap)
+            middle = end[i]
+            if not 0 < middle < e or end[middle] != e:
                 continue
-            left = part[i] = left + part[j]
-            part[j] = None
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                if (r := ranks.get(left + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, len(left) + len(part[k])))
-            if (h := before[i]) >= 0 and (r := ranks.get(part[h] + left)) is not None:
-                heapq.heappush(heap, (r, h, len(part[h]) + len(left)))
-        return [ranks[p] for p in part if p is not None]
-
-    def _units(self, units: list[str]) -> list[bytes]:
+            end[i], end[middle] = e, 0
+            if e < n:
+                before[e] = i
+                far = end[e]
+                if (r := get(piece[i:far])) is not None:
+                    heappush(heap, (r, i, far))
+            if (h := before[i]) >= 0 and (r := get(piece[h:e])) is not None:
+                heappush(heap, (r, h, e))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
+
+    def _units(self, units: list[str]) -> list[np.ndarray]:
         split = [[p.encode() for p in self.pattern.findall(u)] for u in units]
         if len(self.merged) > KEPT:
             self.merged.clear()
@@ -116,13 +82,29 @@ class Codec:
             numbers = self.hash.number(np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new)))
             for p, at in zip(new, numbers.tolist(), strict=True):
                 self.merged[p] = [self.ids[at]] if at >= 0 and self.words[at] == p else self.merge(p)
-        return [np.array([i for p in pieces for i in self.merged[p]], "<u4").tobytes() for pieces in split]
+        merged = self.merged
+        return [np.array(merged[pieces[0]] if len(pieces) == 1 else [i for p in pieces for i in merged[p]], np.uint32) for pieces in split]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [np.frombuffer(b, "<u4").tolist() for b in self.units(texts)]
+        ids, begin = self.units(pa.array(texts, pa.string()))
+        return [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)]
+
+
+class _Table:
+    """Strings by id, strung together for many ids at once."""
+
+    def __init__(self, strings: dict[int, bytes]):
+        size = np.zeros(max(strings) + 1, np.int64)
+        for i, s in strings.items():
+            size[i] = len(s)
+        self.size, self.at = size, np.concatenate(([0], np.cumsum(size)[:-1]))
+        self.data = np.frombuffer(b"".join(strings.get(i, b"") for i in range(len(size))), np.uint8)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def __call__(self, ids: np.ndarray, begin: np.ndarray) -> tuple[bytes, list[int]]:
+        """The strings of all ids in a row, and where those from each of `begin` start."""
+        size = self.size[ids]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        return self.data[ranges(self.at[ids], size)].tobytes(), ends[begin].tolist()
 
 
 @functools.cache
@@ -139,14 +121,13 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, place: str | None =
     def run(batches):
         c = codec(path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                n, ids_sha, bytes_sha = [], [], []
-                for ids in c.encode(batch.column(1).to_pylist()):
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(c.text.__getitem__, ids)).encode()).hexdigest())
-                    bytes_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(bytes_sha), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *batch.schema.names[2:]])
+            for batch in slices(whole, 1):
+                ids, begin = c.units(batch.column(1))
+                text, ends = c.text(ids, begin)
+                ids_sha = [hashlib.sha256(memoryview(text)[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+                decoded, ends = c.bytes(ids, begin)
+                bytes_sha = [hashlib.sha256(memoryview(decoded)[a:b]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begin)), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string()), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *batch.schema.names[2:]])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", place long" if place else ""))

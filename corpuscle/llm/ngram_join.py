@@ -10,15 +10,19 @@ that occur once first and frequent ones last, so documents that only share passa
 
 1. Equal sets become one class; a star of links to its smallest doc_id stands for it.
 2. Frequent tokens are those whose summed counts reach `max(32, tokens / 2**20)`: at most 2**20 of them, broadcast.
-3. A count-min sketch over a fixed share of all tokens (those with low hashes, enough to fill the keys) tells tokens
-   that occur once, and a second one, over the keys, documents that share none with any other: these are finished.
-4. Every document is checked against the nearest, by their points, of the centres of its keys: one verified link for
-   each member of a dense group, not all its pairs.  What these links connect is a group.
+3. A sketch over a fixed share of all tokens (those with low hashes, enough to fill the keys) tells tokens that occur
+   once.  Of a corpus too large for it, it counts every k-th different text; any order is right, and passages of more than
+   about k texts still come late in it.  A second sketch, or beyond its size a grouped count, over the keys tells
+   documents that share none with any other: these are finished.
+4. Every document is checked against the centre with which it shares most keys: one verified link for each member of a
+   dense group, not all its pairs.  What these links connect is a group.
 5. Keys whose documents are not all linked already go to the R-trees, in cells of at most about 2 * CELL points: the
    dominant group of a key is cut into parts that need not meet each other.  Trees join node by node, passing over
    boxes of the same group, of sizes that can't match, and of too little summed minima.  Pairs found are verified.
 6. Components of all links.
 
+A document in very many pairs meets them in parts of about PART, each with its own copy of the set.
+
 Nothing is capped: each pair that shares a key and lies in different groups is compared.  Nulls: a null text, or one
 without words, has an empty set and links with nothing.  Rows with the same doc_id are one vertex.  Rows with null
 doc_id are returned with a null component and link with nothing.  Other columns of the input are ignored.
@@ -34,25 +38,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved, texts
+from .common import mix64, saved
 from .components import connected_components
-from .sketch import counted, maybe_repeated, merged_bits, repeated_bits, width_for
-from .substring_dedup import grams, word_hashes
+from .sketch import MAX_WIDTH, counted, fits, maybe_repeated, merged_bits, repeated_bits, width_for
+from .words import grams, slices, words_of
 
 GROUPS = 64
 LEAF = 32
 CELL = 2048
 #: Tokens of which a task counts repeats at a time.
 TALLY = 1 << 21
-
-
-def token_set(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; fewer words than n make one."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = word_hashes(words)
-    return np.unique(grams(h, n) if len(h) >= n else mix64(grams(h, len(h)) + np.uint64(len(h))))
+#: Different sets a task remembers.
+SEEN = 1 << 16
+#: Pairs of one document that meet its set together.
+PART = 512
+
+
+def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its word n-grams; fewer words than n make one."""
+    words = words_of(column, lower=True)
+    h, g = words.hashes, grams(words.hashes, n)
+    for a, b in zip(words.first.tolist(), words.first[1:].tolist(), strict=False):
+        if b - a >= n:
+            yield np.unique(g[a : b - n + 1])
+        else:
+            yield mix64(grams(h[a:b], b - a) + np.uint64(b - a)) if b > a else h[:0]
 
 
 def _ceil(n, num: int, den: int):
@@ -90,24 +100,24 @@ class _Order:
         return tokens[first], rank[first] > 0, int((rank < 3).sum())
 
 
-def _unseen(batches: Iterator[pa.RecordBatch], n: int, rows: int = 256):
-    """(doc_id, tokens) of each document whose set this task hasn't met."""
+def _unseen(batches: Iterator[pa.RecordBatch], n: int):
+    """(doc_id, digest, tokens) of each document whose set this task doesn't remember."""
     seen: set[tuple[int, int]] = set()
     for whole in batches:
-        for at in range(0, whole.num_rows, rows):
-            batch = whole.slice(at, rows)
-            for doc_id, b in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                t = token_set(b, n)
+        for batch in slices(whole, 1):
+            for doc_id, t in zip(batch.column(0).to_pylist(), token_sets(batch.column(1), n), strict=True):
                 if doc_id is not None and len(t) and (d := _digest(t)) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(d)
-                    yield doc_id, t
+                    yield doc_id, d, t
 
 
-def _classes_and_counts(docs: DataFrame, n: int, low: np.uint64, width: int) -> DataFrame:
-    """kind 0: doc_id, set size, digest; kind 1: a token and how often a task met it (twice or more); kind 2: counters of low tokens."""
+def _classes_and_counts(docs: DataFrame, n: int, low: np.uint64, width: int, every: int) -> DataFrame:
+    """kind 0: doc_id, set size, digest; kind 1: a token and how often a task met it (twice or more); kind 2: counters of low tokens, in every k-th text."""
 
     def run(batches):
-        held, size, seen = [], 0, set()
+        held, some, size, seen = [], [], 0, set()
 
         def batch_of(kind: int, *cols):
             n = len(cols[0])
@@ -117,29 +127,31 @@ def _classes_and_counts(docs: DataFrame, n: int, low: np.uint64, width: int) ->
         def tally():
             t, c = np.unique(np.concatenate(held), return_counts=True)
             yield batch_of(1, t[c > 1].view(np.int64), c[c > 1].astype(np.int64))
-            if len(t) and t[0] < low:
-                found = counted([x[: np.searchsorted(x, low)] for x in held], width)
+            if some:
+                found = counted([x[: np.searchsorted(x, low)] for x in some], width, 1)
                 for at in range(0, len(found), 512):
                     b, one, more = zip(*found[at : at + 512], strict=True)
                     yield batch_of(2, np.array(b, np.int64), None, None, None, one, more)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 1):
                 out: list[list] = [[], [], [], []]
-                for doc_id, b in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                    t = token_set(b, n)
+                for doc_id, t in zip(batch.column(0).to_pylist(), token_sets(batch.column(1), n), strict=True):
                     d = _digest(t)
                     for col, v in zip(out, (doc_id, len(t), *d), strict=True):
                         col.append(v)
                     if d not in seen and len(t):
+                        if len(seen) >= SEEN:
+                            seen.clear()
                         seen.add(d)
                         held.append(t)
+                        if d[0] % every == 0:
+                            some.append(t)
                         size += len(t)
                 yield batch_of(0, *out)
                 if size >= TALLY:
                     yield from tally()
-                    held, size = [], 0
+                    held, some, size = [], [], 0
         if held:
             yield from tally()
 
@@ -150,70 +162,62 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
     """For each document with a key that may be shared: keys, their places, the point, the whole set."""
 
     def run(batches):
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(9)]
 
         def out():
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "n", "rare", "keys", "places", "point", "tokens"])
+            types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc", "d1", "d2", "n", "rare", "keys", "places", "point", "tokens"])
 
-        for doc_id, t in _unseen(batches, n):
+        size = 0
+        for doc_id, d, t in _unseen(batches, n):
             keys, shared, rare = order.value.prefix(t, num, den)
             at = np.flatnonzero(shared)
-            at = at[maybe_repeated(bits.value, keys[at])]
+            if bits is not None:
+                at = at[maybe_repeated(bits.value, keys[at])]
             if len(at):
                 point = np.bincount((mix64(t) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.uint32)
-                for c, v in zip(cols, (doc_id, len(t), rare, keys[at].view(np.int64), at.astype(np.int32), point.tobytes(), t.tobytes()), strict=True):
+                for c, v in zip(cols, (doc_id, *d, len(t), rare, keys[at].view(np.int64), at.astype(np.int32), point.tobytes(), t.tobytes()), strict=True):
                     c.append(v)
-                if len(cols[0]) >= 256:
+                size += len(t)
+                if size >= 1 << 17:
                     yield out()
-                    cols = [[] for _ in range(7)]
+                    cols, size = [[] for _ in range(9)], 0
         if cols[0]:
             yield out()
 
-    return saved(docs.mapInArrow(run, "doc long, n long, rare long, keys array<long>, places array<int>, point binary, tokens binary"), "points")
-
+    return docs.mapInArrow(run, "doc long, d1 long, d2 long, n long, rare long, keys array<long>, places array<int>, point binary, tokens binary")
 
-def _nearest(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """For each a the b of its pairs whose point allows the largest similarity, if that reaches the threshold."""
-    left = rows.select(F.col("doc").alias("a"), F.col("point").alias("p"))
-    right = rows.select(F.col("doc").alias("b"), F.col("point").alias("q"))
 
-    def run(batches):
-        for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for i in (2, 3))
-            both = np.minimum(p, q).sum(axis=1)
-            total = (p + q).sum(axis=1)
-            keep = pa.array((num + den) * both >= num * total)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(both / (total - both))], ["a", "b", "most"]).filter(keep)
-
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(run, "a long, b long, most double")
-    return found.groupBy("a").agg(F.max_by("b", "most").alias("b"))
+def _with_set(pairs: DataFrame, side: str, sets: DataFrame, name: str) -> DataFrame:
+    """pairs with the tokens of the document in column side, as name; a document of many pairs meets them in parts."""
+    other = "b" if side == "a" else "a"
+    many = pairs.groupBy(F.col(side).alias("doc")).agg(F.count("*").alias("c")).where(F.col("c") > PART).select("doc", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    named = pairs.select(F.col(side).alias("doc")).distinct()
+    sets = sets.join(named, "doc", "left_semi").join(many, "doc", "left").select(F.col("doc").alias(side), F.col("tokens").alias(name), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = pairs.join(many.withColumnRenamed("doc", side), side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+    return dealt.join(sets, [side, "part"]).drop("part")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs a, b whose sets reach the threshold.
-
-    The pairs are written first: where they are few, Spark knows it and reads only the sets they name.
-    """
-    pairs = saved(pairs, "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    if pairs.count() < sets.count() // 8:
-        sets = sets.join(named, "doc", "left_semi")
-    left = sets.select(F.col("doc").alias("a"), F.col("tokens").alias("s"))
-    right = sets.select(F.col("doc").alias("b"), F.col("tokens").alias("t"))
+def _verified(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs a, b whose sets reach the threshold."""
+    pairs, sets = saved(pairs, "pairs"), rows.select("doc", "tokens")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 batch = whole.slice(at, 64)
                 keep = []
-                for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                    both = len(s) + len(t) - len(np.union1d(s, t)) if len(s) * len(t) else 0
+                for s, t in zip(batch.column(2), batch.column(3), strict=True):
+                    s, t = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(t.as_buffer(), np.uint64)
+                    both = np.concatenate((s, t))
+                    both.sort()
+                    both = int((both[1:] == both[:-1]).sum())
                     keep.append(den * both >= num * (len(s) + len(t) - both))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    both = _with_set(_with_set(pairs, "a", sets, "s"), "b", sets, "t")
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
 class _Node:
@@ -278,17 +282,14 @@ def tree_join(points: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.nda
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """a, b: each document and the centres of its keys.
+    """a, b: each document and, of the centres of its keys, the one it shares most with.
 
-    A key has two centres: one with few rare tokens and about the usual size, as copies with few changes have, and one
-    by a hash.
+    A key has two centres: one with few rare tokens, as copies with few changes have, and one by a hash.
     """
-    keyed = rows.select("doc", "n", "rare", F.explode("keys").alias("key"))
-    usual = keyed.groupBy("key").agg(F.percentile_approx("n", 0.5, 100).alias("usual"), F.count("*").alias("c")).where("c > 1")
-    far = F.col("rare") + F.abs(F.col("n") - F.col("usual"))
-    centres = keyed.join(usual, "key").groupBy("key").agg(F.min_by("doc", far).alias("x"), F.min_by("doc", F.xxhash64("doc")).alias("y"))
-    pairs = keyed.select("key", "doc").join(centres, "key").select(F.col("doc").alias("a"), F.explode(F.array("x", "y")).alias("b"))
-    return pairs.where("a <> b").distinct()
+    keyed = rows.select("doc", "rare", F.explode("keys").alias("key"))
+    centres = keyed.groupBy("key").agg(F.min_by("doc", F.struct("rare", "doc")).alias("x"), F.min_by("doc", F.xxhash64("doc")).alias("y"), F.max("doc").alias("most"), F.min("doc").alias("least")).where("most <> least")
+    pairs = keyed.select("key", F.col("doc").alias("a")).join(centres.select("key", "x", "y"), "key").select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a <> b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
 def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -332,7 +333,7 @@ def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
 
 def _cells(rows: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     """Rows of every key that still has documents of different groups, dealt to cells."""
-    keyed = rows.join(groups, "doc", "left").select("doc", "n", "point", F.coalesce("comp", "doc").alias("comp"), F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.places").alias("place"), "doc", "n", "comp", "point")
+    keyed = rows.join(groups, "doc", "left").select("doc", "n", "d1", F.coalesce("comp", "doc").alias("comp"), F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), F.col("k.places").alias("place"), "doc", "n", "d1", "comp")
     by_group = keyed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     keys = by_group.groupBy("key").agg(F.sum("c").alias("total"), F.max("c").alias("top"), F.max_by("comp", "c").alias("dominant"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("groups")).where("groups > 1")
     r = keyed.join(keys, "key")
@@ -349,7 +350,8 @@ def _cells(rows: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
     other = F.concat(F.transform(F.filter(F.sequence(F.lit(0), F.col("parts")), lambda k: k > 0), lambda k: cell(k, j)), F.transform(span(F.col("others")), pair))
     lone = F.array(F.lit(0).cast("long"))
     r = r.withColumn("cell", F.explode(F.when(F.col("total") <= CELL, lone).when(F.col("comp") == F.col("dominant"), dominant).otherwise(other)))
-    return r.select("key", "cell", "doc", "n", "place", "comp", "point").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    r = saved(r.select("key", "cell", "doc", "d1", "n", "place", "comp"), "cells")
+    return r.join(rows.select("doc", "d1", "point"), ["doc", "d1"]).select("key", "cell", "doc", "n", "place", "comp", "point").repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
 def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -358,31 +360,52 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = min(1.0, 2.5 * (den - num) / den)  # more than the keys, so that tokens that occur once can fill them
-    low, width = np.uint64(min(int(share * 2**64), 2**64 - 1)), width_for(share * size / 6, 4)  # about six bytes a word
-    found = _classes_and_counts(docs, n, low, width)
+    low, tokens = np.uint64(min(int(share * 2**64), 2**64 - 1)), share * size / 6  # about six bytes a word
+    every = max(1, int(np.ceil(2 * tokens / MAX_WIDTH)))
+    width = width_for(tokens / every)
+    found = _classes_and_counts(docs, n, low, width, every)
     sets = found.where("kind = 0").select("id", "n", "d1", "d2")
     total, keys = sets.agg(F.sum("n"), F.sum(F.col("n") * (den - num) / F.lit(den) + 1)).first()
     floor = max(32, (total or 0) // (1 << 20))
     hot = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()  # at most 2**20 rows: their counts sum to no more than the total
-    once = merged_bits(found.where("kind = 2").select(F.col("id").cast("int").alias("block"), "one", "more"), width)
+    once = merged_bits(found.where("kind = 2").select(F.col("id").cast("int").alias("block"), "one", "more"), width, 1)
     order = spark.sparkContext.broadcast(_Order(hot.column("id").to_numpy().view(np.uint64), hot.column("n").to_numpy(), low, once))
 
     def keys_of(batch):
-        for _, t in _unseen(iter([batch]), n):
+        for _, _, t in _unseen(iter([batch]), n):
             keys, shared, _ = order.value.prefix(t, num, den)
             yield keys[shared]
 
-    bits = spark.sparkContext.broadcast(repeated_bits(docs, keys_of, width_for((keys or 0) / 4), rows=4096))
-    rows = _join_rows(docs, n, order, bits, num, den)
+    if fits(keys or 0):
+        bits = spark.sparkContext.broadcast(repeated_bits(docs, keys_of, width_for((keys or 0) / 4)))
+        rows = _join_rows(docs, n, order, bits, num, den)
+    else:
+        rows = _join_rows(_sharing(docs, n, order, num, den), n, order, None, num, den)
+    copies = sets.where("n > 0 AND id IS NOT NULL")
+    first = copies.groupBy("d1", "d2").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
+    same = saved(copies.join(first, ["d1", "d2"]).where("id <> b").select("id", "b", "d1", "d2"), "same")
+    rows = saved(rows.join(same.select(F.col("id").alias("doc"), "d1", "d2"), ["doc", "d1", "d2"], "left_anti"), "points")  # one document of each set
 
-    star_links = saved(_verified(_nearest(_stars(rows), rows, num, den), rows, num, den), "stars")
+    star_links = saved(_verified(_stars(rows), rows, num, den), "stars")
     groups = connected_components(star_links, "groups").select(F.col("vertex").alias("doc"), F.col("component").alias("comp"))
     pairs = _candidates(_cells(rows.drop("tokens"), groups, num, den), num, den)
     links = saved(_verified(pairs, rows, num, den), "links")
-    copies = sets.where("n > 0 AND id IS NOT NULL")
-    first = copies.groupBy("d1", "d2").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    same = copies.join(first, ["d1", "d2"]).where("id <> b").select(F.col("id").alias("a"), "b")
-    return sets, star_links.union(links).union(same)
+    return sets, groups.select(F.col("doc").alias("a"), F.col("comp").alias("b")).union(links).union(same.select(F.col("id").alias("a"), "b"))
+
+
+def _sharing(docs: DataFrame, n: int, order, num: int, den: int) -> DataFrame:
+    """The documents that have a key another one has, by a grouped count of all keys."""
+
+    def run(batches):
+        for doc_id, _, t in _unseen(batches, n):
+            keys, shared, _ = order.value.prefix(t, num, den)
+            if shared.any():
+                keys = keys[shared].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), doc_id)), pa.array(keys)], ["doc_id", "key"])
+
+    keyed = saved(docs.mapInArrow(run, "doc_id long, key long"), "keys")
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("c")).where("c > 1").select("key")
+    return docs.join(saved(keyed.join(shared, "key", "left_semi").select("doc_id").distinct(), "sharing"), "doc_id", "left_semi")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
-from .substring_dedup import grams, word_hashes
+from .words import grams, words_of
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_stacked")
 _SYMBOLS = b"#*$%&|<>"
@@ -49,7 +49,7 @@ def measure(b: bytes | None) -> tuple[int, ...]:
     chars = int(((a & 0xC0) != 0x80).sum()) - (len(b) - len(b.translate(None, _BLANK)))
     letters = int(_ASCII_LETTERS[a].sum()) + int((a >= 0xC3).sum())  # beyond ASCII, each lead byte counts as a letter
     lines = [x for x in b.split(b"\n") if x.strip(_BLANK)]
-    h = word_hashes(words)
+    h = words_of(pa.array([b], pa.binary())).hashes
     repeat = 0
     if n >= 5:
         _, at, count = np.unique(grams(h, 5), return_inverse=True, return_counts=True)

@@ -1,8 +1,11 @@
 """A count-min sketch built by tasks and merged by Spark, answering one question: can this key occur twice or more?
 
-Each task counts its keys in two rows of `width` counters and writes only the counters it touched, block by block;
-blocks are merged in the shuffle, and the driver receives one bit a counter ("two or more"), at most `2 * MAX_WIDTH`
-bits, whatever the corpus.  A sketch can only overestimate, so a key it calls single is single.
+Each task counts its keys in one or two rows of `width` counters and writes only the counters it touched, block by block;
+blocks are merged in the shuffle, one at a time in a task, and the driver receives one bit a counter ("two or more"), at
+most `2 * MAX_WIDTH` bits.  A sketch can only overestimate, so a key it calls single is single.
+
+A corpus with more keys than such a sketch can tell apart (`fits`) has its counters as a table instead: rows of a
+grouped count that no one task or driver holds, as wide as the corpus needs, which keys meet by a join (`shared_slots`).
 """
 
 from __future__ import annotations
@@ -19,20 +22,27 @@ BLOCK = 1 << 16
 MIN_WIDTH, MAX_WIDTH = 1 << 18, 1 << 28
 #: Keys a task gathers before it writes their counters.
 FLUSH = 1 << 20
+#: Parts in which the keys of one counter meet it.
+SALT = 8
 
 
 def width_for(keys: float, each: int = 8) -> int:
-    """Counters a row for about this many keys; bounded, so a larger corpus gets a fuller sketch, never a larger one."""
+    """Counters a row for about this many keys, within MIN_WIDTH and MAX_WIDTH."""
     return int(min(MAX_WIDTH, max(MIN_WIDTH, 1 << int(np.ceil(np.log2(max(each * keys, 1)))))))
 
 
-def slots(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def fits(keys: float) -> bool:
+    """Whether a sketch of at most MAX_WIDTH has two counters a key, which calls less than a sixth of single keys repeated."""
+    return 2 * keys <= MAX_WIDTH
+
+
+def slots(keys: np.ndarray, width: int, rows: int = 2) -> tuple[np.ndarray, ...]:
     mask = np.uint64(width - 1)
-    return keys & mask, ((keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & mask
+    return (keys & mask, ((keys >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) & mask)[:rows]
 
 
-def _blocks(keys: np.ndarray, width: int) -> Iterator[tuple[int, bytes, bytes]]:
-    for row, slot in enumerate(slots(keys, width)):
+def _blocks(keys: np.ndarray, width: int, rows: int) -> Iterator[tuple[int, bytes, bytes]]:
+    for row, slot in enumerate(slots(keys, width, rows)):
         slot, n = np.unique(slot, return_counts=True)
         block = (slot >> np.uint64(16)).astype(np.int64)
         offset = (slot & np.uint64(BLOCK - 1)).astype(np.uint16)
@@ -43,7 +53,7 @@ def _blocks(keys: np.ndarray, width: int) -> Iterator[tuple[int, bytes, bytes]]:
                 yield row * (width // BLOCK) + int(block[at]), offset[at:end][one].tobytes(), offset[at:end][~one].tobytes()
 
 
-def repeated_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int, rows: int = 256) -> np.ndarray:
+def repeated_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], width: int) -> np.ndarray:
     """Bits of both rows, set where the merged count is two or more.  keys_of gives uint64 keys, one for each occurrence."""
 
     def count(batches):
@@ -56,46 +66,66 @@ def repeated_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(one, pa.binary()), pa.array(more, pa.binary())], ["block", "one", "more"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                for keys in keys_of(batch.slice(at, rows)):
-                    held.append(keys)
-                    n += len(keys)
-                    if n >= FLUSH:
-                        yield from out()
-                        held, n = [], 0
+            for keys in keys_of(batch):
+                held.append(keys)
+                n += len(keys)
+                if n >= FLUSH:
+                    yield from out()
+                    held, n = [], 0
         if n:
             yield from out()
 
     return merged_bits(df.mapInArrow(count, "block int, one binary, more binary"), width)
 
 
-def counted(held: list[np.ndarray], width: int) -> list[tuple[int, bytes, bytes]]:
+def counted(held: list[np.ndarray], width: int, rows: int = 2) -> list[tuple[int, bytes, bytes]]:
     """A task's counters for some keys: block, offsets counted once, offsets counted more often."""
-    return list(_blocks(np.concatenate(held), width))
+    return list(_blocks(np.concatenate(held), width, rows))
 
 
-def merged_bits(blocks: DataFrame, width: int) -> np.ndarray:
+def merged_bits(blocks: DataFrame, width: int, rows: int = 2) -> np.ndarray:
     """blocks: block, one, more, as tasks count them."""
 
     def merge(batches):
-        counts: dict[int, np.ndarray] = {}
+        """Rows come sorted by block, so one block's counters are held at a time."""
+        last, c = None, np.zeros(BLOCK, np.uint8)
+        bits = lambda: pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(c >= 2).tobytes()], pa.binary())], ["block", "bits"])
         for batch in batches:
-            for b, one, more in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (c := counts.get(b)) is None:
-                    c = counts[b] = np.zeros(BLOCK, np.uint8)
-                one = np.frombuffer(one, np.uint16)
+            for b, one, more in zip(*(batch.column(i) for i in range(3)), strict=True):
+                b, one, more = b.as_py(), np.frombuffer(one.as_buffer(), np.uint16), np.frombuffer(more.as_buffer(), np.uint16)
+                if b != last:
+                    if last is not None:
+                        yield bits()
+                    last = b
+                    c[:] = 0
                 c[one] = np.minimum(c[one] + 1, 2)
-                c[np.frombuffer(more, np.uint16)] = 2
-        for b, c in counts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(c >= 2).tobytes()], pa.binary())], ["block", "bits"])
+                c[more] = 2
+        if last is not None:
+            yield bits()
 
-    bits = np.zeros((2 * width // BLOCK, BLOCK // 8), np.uint8)
-    for r in blocks.repartition(F.col("block")).mapInArrow(merge, "block int, bits binary").toLocalIterator():  # one bit a counter: bounded by MAX_WIDTH
-        bits[r.block] = np.frombuffer(r.bits, np.uint8)
-    return bits.reshape(2, width // 8)
+    bits = np.zeros((rows * width // BLOCK, BLOCK // 8), np.uint8)
+    merged = blocks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    found = merged.toArrow()  # one bit a counter: bounded by MAX_WIDTH
+    for b, x in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+        bits[b] = np.frombuffer(x.as_buffer(), np.uint8)
+    return bits.reshape(rows, width // 8)
 
 
 def maybe_repeated(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False only for keys that occur once."""
-    a, b = (s.astype(np.int64) for s in slots(keys, bits.shape[1] * 8))
-    return ((bits[0][a >> 3] >> (7 - (a & 7)).astype(np.uint8)) & (bits[1][b >> 3] >> (7 - (b & 7)).astype(np.uint8)) & 1).astype(bool)
+    found = np.ones(len(keys), np.uint8)
+    for row, slot in zip(bits, slots(keys, bits.shape[1] * 8, len(bits)), strict=True):
+        slot = slot.astype(np.int64)
+        found &= row[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)
+    return (found & 1).astype(bool)
+
+
+def slot_of(key, keys: float):
+    """A key's counter in one row of about eight counters a key, as a column."""
+    return F.col(key).bitwiseAND(F.lit((1 << int(np.ceil(np.log2(max(8 * keys, 2))))) - 1))
+
+
+def shared_slots(df: DataFrame, keys: float) -> DataFrame:
+    """df: key, n.  slot, salt: the counters that reach two, once for each salt."""
+    found = df.groupBy(slot_of("key", keys).alias("slot")).agg(F.sum("n").alias("n")).where("n > 1")
+    return found.select("slot", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))

@@ -5,8 +5,8 @@ document bounds, and an index: a minimal perfect hash over the document keys, wh
 fingerprint and the document's place.  A lookup hashes, compares one fingerprint and reads one slice.  Parquet keeps
 the shards in any store Spark reaches, and its statistics on the first and last key let a reader skip whole files.
 
-Documents are dealt to tasks by ranges of doc_id, null first, and sorted there, rows of equal doc_id by text; a hot
-doc_id only makes one task's stream longer, as shards are written whenever SHARD_IDS ids are gathered.
+Documents are dealt to tasks by ranges of doc_id, null first, rows of equal doc_id by a hash of their texts, and sorted
+there; a hot doc_id falls into several ranges, and shards are written whenever SHARD_IDS ids are gathered.
 
 Nulls: a null text is an empty one and consists of its end id; a row with null doc_id is stored, and has no key.
 Rows repeat freely; the index leads to the first of those with equal keys.  Other columns of the input are ignored.
@@ -25,13 +25,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import UnitCache
 from .common import mix64
 from .perfect_hash import PerfectHash
+from .units import UnitTable
+from .words import slices
 
 SHARD_IDS = 1 << 20
-#: Units whose ids a task keeps.
-KEPT = 1_200_000
 SCHEMA = "shard long, n_docs long, n_tokens long, first_key long, last_key long, width int, doc_ids array<long>, payload binary, bounds binary, hash binary, fingerprints binary, places binary"
 
 
@@ -49,28 +48,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         vocab = self.tok.get_vocab()
         self.dtype = "<u2" if max(vocab.values()) < 1 << 16 else "<u4"
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for t, i in vocab.items():
             self.sizes[i] = len(t)  # a byte-level token has one character a byte
-        self.encode = UnitCache(self._units, KEPT)
+        added = self.tok.get_added_tokens_decoder().values()
+        self.encode = UnitTable(self._units, whole=tuple(t.content.encode() for t in added))  # texts with an added token are encoded whole
 
-    def _units(self, units: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(units)
+    def _units(self, units: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(units)
         joined = [i for i, u in enumerate(units) if u[0] in " \n" and not u[1:2].isspace() and not u[-1].isspace()]
         for at in range(0, len(joined), 2000):
             some = joined[at : at + 2000]
             ids = np.array(self.tok.encode_batch_fast(["".join(units[i] for i in some)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(units[i].encode()) for i in some])) + 1
-            ids = ids.astype(self.dtype)
+            ids = ids.astype(np.uint32)
             for i, a, b in zip(some, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                out[i] = ids[a:b].tobytes()
+                out[i] = ids[a:b]
         done = set(joined)
         rest = [i for i in range(len(units)) if i not in done]
         for i, e in zip(rest, self.tok.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, self.dtype).tobytes()
+            out[i] = np.array(e.ids, np.uint32)
         return out
 
 
@@ -101,11 +100,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
         end = np.array([end_id], e.dtype).tobytes()
         number, ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                batch = whole.slice(at, 128)
-                for doc_id, part in zip(batch.column(0).to_pylist(), e.encode(batch.column(1).to_pylist()), strict=True):
+            for batch in slices(whole, 1):
+                found, begin = e.encode(batch.column(1))
+                found = found.astype(e.dtype)
+                for doc_id, a, b in zip(batch.column(0).to_pylist(), begin, begin[1:], strict=False):
                     ids.append(doc_id)
-                    parts.append(part + end)
+                    parts.append(found[a:b].tobytes() + end)
                     size += len(parts[-1])
                     if size >= SHARD_IDS * len(end):
                         yield _shard(number, ids, parts, e.dtype)
@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) ->
             yield _shard(number, ids, parts, e.dtype)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
+    docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
