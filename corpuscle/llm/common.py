@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,15 +37,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, rows: int = 256) -> DataFrame:
-    """Apply fn to slices of at most `rows` rows, so a task holds few whole texts at a time."""
+#: Rows of a few numbers each that every executor may hold.
+SMALL = 1 << 18
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield from fn(batch.slice(at, rows))
 
-    return df.mapInArrow(run, schema)
+def if_small(table: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A saved table of few columns, to be broadcast if its counted rows are few; else it joins as Spark sees fit."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def texts(column: pa.Array) -> list[bytes | None]:
@@ -64,7 +60,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-def id_text(col="doc_id"):
-    return F.col(col).cast("string")

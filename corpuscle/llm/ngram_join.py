@@ -38,10 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, saved
+from .common import if_small, mix64, saved
 from .components import connected_components
 from .sketch import MAX_WIDTH, counted, fits, maybe_repeated, merged_bits, repeated_bits, width_for
-from .words import grams, slices, words_of
+from .words import grams, ranges, slices, words_of
 
 GROUPS = 64
 LEAF = 32
@@ -83,6 +83,8 @@ class _Order:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, low: np.uint64, bits: np.ndarray):
         at = np.argsort(tokens)
         self.tokens, self.rank, self.low, self.bits = tokens[at], np.log2(counts[at]).astype(np.int64) + 2, low, bits
+        self.mark = np.zeros(1 << 24, bool)  # spares most tokens the search
+        self.mark[(tokens >> np.uint64(40)).astype(np.int64)] = True
 
     def prefix(self, tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The document's keys, in order, which of them another document may have, and its number of tokens that aren't frequent."""
@@ -93,9 +95,11 @@ class _Order:
         rank = np.ones(n, np.int64)
         low = np.searchsorted(tokens, self.low)
         rank[:low] = 2 * maybe_repeated(self.bits, tokens[:low])
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-            rank = np.where(self.tokens[at] == tokens, self.rank[at], rank)
+        some = np.flatnonzero(self.mark[(tokens >> np.uint64(40)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.tokens, tokens[some]), len(self.tokens) - 1)
+            hit = self.tokens[at] == tokens[some]
+            rank[some[hit]] = self.rank[at[hit]]
         first = np.argsort(rank, kind="stable")[:p]
         return tokens[first], rank[first] > 0, int((rank < 3).sum())
 
@@ -188,20 +192,31 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
     return docs.mapInArrow(run, "doc long, d1 long, d2 long, n long, rare long, keys array<long>, places array<int>, point binary, tokens binary")
 
 
-def _with_set(pairs: DataFrame, side: str, sets: DataFrame, name: str) -> DataFrame:
-    """pairs with the tokens of the document in column side, as name; a document of many pairs meets them in parts."""
-    other = "b" if side == "a" else "a"
-    many = pairs.groupBy(F.col(side).alias("doc")).agg(F.count("*").alias("c")).where(F.col("c") > PART).select("doc", F.ceil(F.col("c") / PART).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    named = pairs.select(F.col(side).alias("doc")).distinct()
-    sets = sets.join(named, "doc", "left_semi").join(many, "doc", "left").select(F.col("doc").alias(side), F.col("tokens").alias(name), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    dealt = pairs.join(many.withColumnRenamed("doc", side), side, "left").withColumn("part", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
-    return dealt.join(sets, [side, "part"]).drop("part")
+def _near_enough(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Those of the pairs a, b whose points allow the threshold."""
+    points = rows.select("doc", "point")
+
+    def run(batches):
+        for batch in batches:
+            p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64) for i in (2, 3))
+            both = np.minimum(p, q).sum(axis=1)
+            yield batch.select([0, 1]).filter(pa.array((num + den) * both >= num * (p + q).sum(axis=1)))
+
+    both = pairs.join(points.toDF("a", "p"), "a").join(points.toDF("b", "q"), "b")
+    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs a, b whose sets reach the threshold."""
-    pairs, sets = saved(pairs, "pairs"), rows.select("doc", "tokens")
+    """Those of the pairs a, b whose sets reach the threshold; a document of many pairs meets them in parts."""
+    pairs = saved(pairs, "pairs")
+    dealt, sets = pairs, {}
+    for side, other in (("a", "b"), ("b", "a")):
+        many = saved(pairs.groupBy(side).agg(F.count("*").alias("c")).where(F.col("c") > PART).select(side, F.ceil(F.col("c") / PART).cast("int").alias("parts")), "many")
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = dealt.join(if_small(many), side, "left").withColumn(f"part_{side}", F.pmod(F.xxhash64(other), parts).cast("int")).drop("parts")
+        named = if_small(saved(pairs.select(side).distinct(), "named"))
+        some = rows.select(F.col("doc").alias(side), F.col("tokens").alias(f"set_{side}")).join(named, side, "left_semi").join(if_small(many), side, "left")
+        sets[side] = some.select(side, f"set_{side}", F.explode(F.sequence(F.lit(0), parts - 1)).alias(f"part_{side}"))
 
     def run(batches):
         for whole in batches:
@@ -216,8 +231,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFram
                     keep.append(den * both >= num * (len(s) + len(t) - both))
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = _with_set(_with_set(pairs, "a", sets, "s"), "b", sets, "t")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    both = dealt.join(sets["a"], ["a", "part_a"]).join(sets["b"], ["b", "part_b"])
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 class _Node:
@@ -281,52 +296,62 @@ def tree_join(points: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.nda
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _stars(rows: DataFrame) -> DataFrame:
-    """a, b: each document and, of the centres of its keys, the one it shares most with.
+def _stars(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: each document and, of the centres of its keys with a size within reach, the one it shares most with.
 
     A key has two centres: one with few rare tokens, as copies with few changes have, and one by a hash.
     """
-    keyed = rows.select("doc", "rare", F.explode("keys").alias("key"))
-    centres = keyed.groupBy("key").agg(F.min_by("doc", F.struct("rare", "doc")).alias("x"), F.min_by("doc", F.xxhash64("doc")).alias("y"), F.max("doc").alias("most"), F.min("doc").alias("least")).where("most <> least")
-    pairs = keyed.select("key", F.col("doc").alias("a")).join(centres.select("key", "x", "y"), "key").select("a", F.explode(F.array_distinct(F.array("x", "y"))).alias("b")).where("a <> b")
+    keyed = rows.select("doc", "n", "rare", F.explode("keys").alias("key"))
+    who = F.struct("doc", "n")
+    centres = keyed.groupBy("key").agg(F.min_by(who, F.struct("rare", "doc")).alias("x"), F.min_by(who, F.xxhash64("doc")).alias("y"), F.max("doc").alias("most"), F.min("doc").alias("least")).where("most <> least")
+    pairs = keyed.select("key", F.col("doc").alias("a"), "n").join(centres.select("key", "x", "y"), "key").select("a", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("b"))
+    pairs = pairs.where((F.col("a") != F.col("b.doc")) & (den * F.least("n", "b.n") >= num * F.greatest("n", "b.n"))).select("a", F.col("b.doc").alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
 
 
+def leaf_join(first: np.ndarray, size: np.ndarray, points: np.ndarray, n: np.ndarray, place: np.ndarray, comp: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """tree_join for many sets of rows first[i], ... of size[i], each of at most a leaf's size, all at once."""
+    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    rows = ranges(first, size)
+    i, j = np.repeat(rows, inside), ranges(rows - inside, inside)
+    least = -(-num * (n[i] + n[j]) // (num + den))
+    ok = (comp[i] != comp[j]) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least) & (np.minimum(n[i], n[j]) >= least)
+    i, j, least = i[ok], j[ok], least[ok]
+    good = [np.minimum(points[i[at : at + 8192]], points[j[at : at + 8192]]).sum(axis=1) >= least[at : at + 8192] for at in range(0, len(i), 8192)]
+    good = np.concatenate(good) if good else np.zeros(0, bool)
+    return i[good], j[good]
+
+
 def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
     """cells: key, cell, doc, n, place, comp, point; rows of one cell stand together in a partition."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
-        pairs: list[np.ndarray] = []  # what several keys find goes out once
-        last = None
 
-        def out():
-            p = np.unique(np.concatenate(pairs), axis=0)
-            pairs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-        def search():
-            t = pa.Table.from_batches(held)
-            doc, n, place, comp = (t.column(c).to_numpy() for c in ("doc", "n", "place", "comp"))
+        def search(t: pa.Table, cuts: np.ndarray):
+            doc, n, place, comp = (t.column(c).to_numpy().astype(np.int64) for c in ("doc", "n", "place", "comp"))
             points = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS)
-            i, j = tree_join(points, n, place.astype(np.int64), comp, num, den)
-            pairs.append(np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])), axis=1))
+            size = np.diff(cuts)
+            small = size <= LEAF
+            found = [leaf_join(cuts[:-1][small], size[small], points, n, place, comp, num, den)]
+            for at, end in zip(cuts[:-1][~small].tolist(), cuts[1:][~small].tolist(), strict=True):
+                i, j = tree_join(points[at:end], n[at:end], place[at:end], comp[at:end], num, den)
+                found.append((i + at, j + at))
+            i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+            p = np.unique(np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])), axis=1), axis=0)  # what several keys find goes out once
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], ["a", "b"])
 
         for batch in batches:
-            key, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1).tolist(), batch.num_rows]
-            for at, end in zip(cuts, cuts[1:], strict=False):
-                if end > at:
-                    if last is not None and last != (key[at], cell[at]):
-                        search()
-                        held = []
-                        if sum(map(len, pairs)) > 1 << 18:
-                            yield out()
-                    last = (key[at], cell[at])
-                    held.append(batch.slice(at, end - at))
+            held.append(batch)
+            t = pa.Table.from_batches(held)
+            key, cell = (t.column(c).to_numpy() for c in ("key", "cell"))
+            cuts = np.concatenate(([0], np.flatnonzero((np.diff(key) != 0) | (np.diff(cell) != 0)) + 1))
+            if len(cuts) > 1:  # the last cell may go on
+                yield search(t.slice(0, cuts[-1]), cuts)
+                held = t.slice(cuts[-1]).to_batches()
         if held:
-            search()
-            yield out()
+            t = pa.Table.from_batches(held)
+            yield search(t, np.array([0, t.num_rows]))
 
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -384,9 +409,9 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     copies = sets.where("n > 0 AND id IS NOT NULL")
     first = copies.groupBy("d1", "d2").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     same = saved(copies.join(first, ["d1", "d2"]).where("id <> b").select("id", "b", "d1", "d2"), "same")
-    rows = saved(rows.join(same.select(F.col("id").alias("doc"), "d1", "d2"), ["doc", "d1", "d2"], "left_anti"), "points")  # one document of each set
+    rows = saved(rows.join(if_small(same.select(F.col("id").alias("doc"), "d1", "d2")), ["doc", "d1", "d2"], "left_anti"), "points")  # one document of each set
 
-    star_links = saved(_verified(_stars(rows), rows, num, den), "stars")
+    star_links = saved(_verified(_near_enough(saved(_stars(rows, num, den), "centres"), rows, num, den), rows, num, den), "stars")
     groups = connected_components(star_links, "groups").select(F.col("vertex").alias("doc"), F.col("component").alias("comp"))
     pairs = _candidates(_cells(rows.drop("tokens"), groups, num, den), num, den)
     links = saved(_verified(pairs, rows, num, den), "links")
