@@ -11,6 +11,8 @@ cut by their first bits into buckets of about BUCKET vectors, each sorted and se
    where all vectors are about equally far they climb to the top, and one tree's buckets, all of them, do.
 3. All candidates under that prefix are scored in double precision; no number of candidates is capped.
 
+Vectors travel as the bytes of their own numbers, and are read as matrices.
+
 Equal vectors are one entry that lists the smallest k + 1 of their ids: more can never be among k neighbours.  A bucket
 that many vectors crowd is cut into parts of about BUCKET, each met by the same queries.
 
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import saved
 
@@ -66,59 +69,72 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return scores >= kth[:, None] - 1e-9 * (1 + np.abs(kth[:, None]))
 
 
-def _search(batches, k: int, deep: bool, cut: int):
+def _matrix(column: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Vectors packed as bytes, as a matrix of doubles."""
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), kind).reshape(len(column), -1).astype(np.float64)
+
+
+def _search(batches, k: int, deep: bool, cut: int, kind: str):
     """Rows of one (tree, bucket, part), base rows (kind 0) before queries (1): query, ids and score of the best.
 
     deep: descend to the longest prefix that NEAR vectors share; else take the query's own prefix length.
     """
-    base: list = []
-    asked: list = []
-    here = None
-
-    def answer():
-        keys = np.array([b[0] for b in base], np.int64).view(np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        x = np.array([base[i][1] for i in order], np.float64)
-        ids = [base[i][2] for i in order]
-        q_key = np.array([a[0] for a in asked], np.int64).view(np.uint64)
-        q = np.array([a[1] for a in asked], np.float64)
-        level = np.array([a[3] for a in asked])
+
+    def answer(base: dict, asked: pa.Table):
+        keys, x, ids = base["keys"], base["x"], base["ids"]
+        q_key, q, level = asked.column("key").to_numpy().view(np.uint64), _matrix(asked.column("v"), kind), asked.column("level").to_numpy()
+        who_asks = asked.column("ids").combine_chunks().flatten().to_numpy()
         if deep:
-            level = np.full(len(asked), cut)
+            level = np.full(len(q), cut)
             for bits in range(cut + 1, BITS + 1):  # a longer prefix while enough vectors share it
-                lo, hi = _range(keys, q_key, np.full(len(asked), bits))
+                lo, hi = _range(keys, q_key, np.full(len(q), bits))
                 level[hi - lo >= NEAR] = bits
         lo, hi = _range(keys, q_key, np.where(level <= cut, 0, level))
-        out: list[tuple] = []
-        slices: dict[tuple[int, int], list[int]] = {}
-        for i, r in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            slices.setdefault(r, []).append(i)
-        for (a, b), who in slices.items():
-            for at in range(0, len(who), 256):
-                some = who[at : at + 256]
-                if b <= a:
-                    continue
+        slices, same = np.unique(np.stack((lo, hi), axis=1), axis=0, return_inverse=True)
+        order = np.argsort(same.reshape(-1), kind="stable")
+        ends = np.cumsum(np.bincount(same.reshape(-1), minlength=len(slices)))
+        for (a, b), start, end in zip(slices.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            for at in range(start, end if b > a else start, 256):
+                some = order[at : min(at + 256, end)]
                 i, j = np.nonzero(_top(q[some] @ x[a:b].T, k + 1))
-                exact = (q[np.array(some)[i]] * x[a + j]).sum(axis=1)
-                out += [(asked[some[p]][2], ids[a + c], s) for p, c, s in zip(i.tolist(), j.tolist(), exact.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.float64())], ["query_id", "ids", "score"])
-
-    for batch in batches:
-        for tree, bucket, part, kind, key, v, ids, level in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-            if here != (tree, bucket, part):
-                if base and asked:
-                    yield answer()
-                here, base, asked = (tree, bucket, part), [], []
-            if kind == 0:
-                base.append((key, v, ids))
-            else:
-                asked.append((key, v, ids[0], level))
-                if len(asked) >= 4096 and base:
-                    yield answer()
-                    asked = []
-    if base and asked:
-        yield answer()
+                exact = (q[some[i]] * x[a + j]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(who_asks[some[i]]), ids.take(pa.array(a + j)), pa.array(exact)], ["query_id", "ids", "score"])
+
+    def groups():
+        """The rows of one place, in pieces of a bounded number of queries."""
+        here, held, n = None, [], 0
+        for batch in batches:
+            names = [batch.column(i).to_numpy() for i in range(3)]
+            change = np.any([np.diff(x) != 0 for x in names], axis=0) if batch.num_rows else np.zeros(0, bool)
+            cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if end <= at:
+                    continue
+                place = tuple(int(x[at]) for x in names)
+                if place != here or n >= 4096:
+                    if held:
+                        yield here, pa.Table.from_batches(held)
+                    here, held, n = place, [], 0
+                held.append(batch.slice(at, end - at))
+                n += int((batch.column(3).slice(at, end - at).to_numpy() == 1).sum())
+        if held:
+            yield here, pa.Table.from_batches(held)
+
+    here, rows, base = None, [], None
+    for place, t in groups():
+        if place != here:
+            here, rows, base = place, [], None
+        is_base = t.column("kind").to_numpy() == 0
+        if is_base.any():
+            rows.append(t.filter(pa.array(is_base)))
+        asked = t.filter(pa.array(~is_base))
+        if asked.num_rows and rows:
+            if base is None:
+                all_rows = pa.concat_tables(rows).combine_chunks()
+                order = np.argsort(all_rows.column("key").to_numpy().view(np.uint64), kind="stable")
+                all_rows = all_rows.take(pa.array(order))
+                base = {"keys": all_rows.column("key").to_numpy().view(np.uint64), "x": _matrix(all_rows.column("v"), kind), "ids": all_rows.column("ids").combine_chunks()}
+            yield from answer(base, asked)
 
 
 def _range(keys: np.ndarray, q: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,21 +145,30 @@ def _range(keys: np.ndarray, q: np.ndarray, bits: np.ndarray) -> tuple[np.ndarra
     return np.searchsorted(keys, q & ~mask, "left"), np.searchsorted(keys, q | mask, "right")
 
 
-def _forest(vectors: DataFrame, longest: float, query: bool, trees: int, seed: int, carry: str = "") -> DataFrame:
+def _packed(rows: DataFrame, kind: str) -> DataFrame:
+    """v as the bytes of its numbers, the other columns as they are."""
+
+    def run(batches):
+        for batch in batches:
+            v = batch.column(0)
+            flat = v.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(max(batch.num_rows, 1), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in flat[: batch.num_rows]], pa.binary()), *batch.columns[1:]], batch.schema.names)
+
+    return rows.mapInArrow(run, "v binary, ids array<long>")
+
+
+def _forest(vectors: DataFrame, longest: float, query: bool, trees: int, seed: int, kind: str, carry: str = "") -> DataFrame:
     """v, ids (and level) of each row once for every tree, with the tree's string."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                x = np.array(batch.column(0).to_pylist(), np.float64)
-                if not len(x):
-                    continue
-                keys = _strings(x, longest, query, trees, seed).view(np.int64)
+                keys = _strings(_matrix(batch.column(0), kind), longest, query, trees, seed).view(np.int64)
                 for t in range(trees):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(keys[t]), *batch.columns], ["tree", "key", *batch.schema.names])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(keys[t]), *batch.columns], ["tree", "key", *batch.schema.names])
 
-    return vectors.mapInArrow(run, "tree int, key long, v array<double>, ids array<long>" + carry)
+    return vectors.mapInArrow(run, "tree int, key long, v binary, ids array<long>" + carry)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -159,13 +184,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     usable = _usable(vectors, id_col, vector_col)
     common = usable.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     usual = F.size("v") == (common.n if common else 1)
-    entries = saved(_entries(usable.where(usual), k), "vectors")
-    n, longest = entries.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    kind = "<f4" if vectors.schema[vector_col].dataType == T.ArrayType(T.FloatType(), True) else "<f8"
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    longest = usable.where(usual).agg(F.max(F.sqrt(squares))).first()[0]
+    entries = saved(_packed(_entries(usable.where(usual), k), kind), "vectors")
+    n = entries.count()
     cut = min(16, max(0, int(np.floor(np.log2(max(n, 1) / BUCKET)))))  # first bits that name a bucket
     asked = _usable(vectors.where(is_query), id_col, vector_col).where(usual).dropDuplicates(["h1", "h2", "id"])
-    asked = saved(asked.select("v", F.array("id").alias("ids")), "queries")
+    asked = asked.select("v", F.array("id").alias("ids"))
+    lengths = asked.select(F.col("ids")[0].alias("query_id"), F.sqrt(squares).alias("length"))
+    asked = saved(_packed(asked, kind), "queries")
     bucket = (F.shiftrightunsigned("key", BITS - cut) if cut else F.lit(0)).cast("int")
-    base = _forest(entries, longest or 0.0, False, trees, seed).withColumn("bucket", bucket)
+    base = _forest(entries, longest or 0.0, False, trees, seed, kind).withColumn("bucket", bucket)
     full = base.groupBy("tree", "bucket").agg(F.count("*").alias("c")).select("tree", "bucket", F.ceil(F.col("c") / (2 * BUCKET)).cast("int").alias("parts"))
     full = saved(full, "buckets")
     base = base.join(full, ["tree", "bucket"]).withColumn("part", F.pmod(F.xxhash64("ids"), "parts").cast("int"))
@@ -175,20 +205,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         """queries: tree, bucket, key, v, ids, level."""
         q = queries.join(full, ["tree", "bucket"]).select("tree", "bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "key", "v", "ids", "level")
         rows = base.union(q).repartition("tree", "bucket", "part").sortWithinPartitions("tree", "bucket", "part", "kind")
-        return rows.mapInArrow(lambda b: _search(b, k, deep, cut), "query_id long, ids array<long>, score double")
+        return rows.mapInArrow(lambda b: _search(b, k, deep, cut, kind), "query_id long, ids array<long>, score double")
 
-    keyed = _forest(asked, longest or 0.0, True, trees, seed).withColumn("bucket", bucket)
+    keyed = _forest(asked, longest or 0.0, True, trees, seed, kind).withColumn("bucket", bucket)
     first = saved(searched(keyed.withColumn("level", F.lit(cut)), True), "descent")
     # a query that found fewer than k climbs to the top
     near = _best(first, k).groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("c")).select("query_id", F.when(F.col("c") >= k, F.col("s")).alias("s"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    asked = asked.withColumn("query_id", F.col("ids")[0]).join(near, "query_id", "left")
-    p = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("s") / (length * F.lit(longest or 1.0))))) / F.lit(float(np.pi))
+    lengths = lengths.groupBy("query_id").agg(F.min("length").alias("length"))
+    asked = asked.withColumn("query_id", F.col("ids")[0]).join(near, "query_id", "left").join(lengths, "query_id")
+    p = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("s") / (F.col("length") * F.lit(longest or 1.0))))) / F.lit(float(np.pi))
     level = F.coalesce(F.floor(F.lit(float(np.log(1 - miss ** (1 / trees)))) / F.log(F.least(p, F.lit(1 - 1e-9)))), F.lit(0)).cast("int")
     # where the trees together would read more than everything, one tree's top does
     level = F.when(level < np.ceil(np.log2(trees)), F.lit(0)).otherwise(F.least(level, F.lit(BITS)))
     levelled = saved(asked.select("v", "ids", level.alias("level")), "levels")
-    keyed = _forest(levelled, longest or 0.0, True, trees, seed, ", level int").where((F.col("level") > 0) | (F.col("tree") == 0))
+    keyed = _forest(levelled, longest or 0.0, True, trees, seed, kind, ", level int").where((F.col("level") > 0) | (F.col("tree") == 0))
     own = (F.shiftrightunsigned("key", BITS - cut) if cut else F.lit(0)).cast("int")
     free = F.greatest(F.lit(cut) - F.col("level"), F.lit(0))
     low = F.pow(F.lit(2), free).cast("int")

@@ -9,7 +9,11 @@ shuffled.  Every page is then read through its layout's wrapper, or through its
 The wrapper says which parts hold the article: the parts named `article` or `main`, or else the part with most of the
 text, less those that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their name, mostly
 links, or template text.  Text is template if all pages of the layout have it and the layout has at least three different
-contents; copies of one article are one content.
+contents, and it stands outside articles and isn't prose (a paragraph, list item, heading, cell); copies of one article are one
+content.  A name is one of those words only as a whole: `cookie-notice` is a notice, `notice-of-law` isn't.
+
+Read as an expression, a wrapper's node is an element whose children are optional (seen in fewer pages than it), repeated
+(many) or plain, with its own text a slot or a constant.  Alignment is by key, so it costs time in proportion to a page's length.
 
 Nulls: a null or empty page has an empty text.  A page whose host isn't known, or null, belongs to the host ''.  Rows
 repeat freely.  Other columns are ignored.
@@ -20,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+import operator
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,9 +41,11 @@ MERGED = 2048
 CONTENTS = 3
 #: Bytes of wrappers that go to the tasks as one broadcast; beyond, pages are joined to them.
 BROADCAST_BYTES = 32 << 20
+SALT = 16
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 20))  # trees are as deep as pages nest elements
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?>\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
+_ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _RAW = frozenset("script style textarea title noscript template iframe svg math select option object canvas xmp noembed noframes".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head button label".split())
 _VOID = frozenset("hr".split())
@@ -49,6 +57,14 @@ _DROP_NAMES = frozenset("""ad ads advert adverts advertisement banner sponsor sp
     alert sidebar side rail related recommended recommendations share sharing social comment comments reply replies respond discussion
     disqus feedback newsletter subscribe subscription signup popup modal overlay breadcrumb breadcrumbs pagination pager nav navbar
     navigation menu topbar footer foot header masthead toolbar widget widgets toc skip login search complementary contentinfo form""".split())
+#: Words that a name may add to those without being another one.
+_NEUTRAL = frozenset("""site page post posts article articles story block box slot list item items wrap wrapper container inner outer section area
+    panel bar top bottom left right main global primary secondary unit zone button buttons link links text body message policy news letter
+    up in s the js is has fixed sticky group row col column content header title info author""".split())
+#: Elements whose text is never template inside a page's main part.
+_PROSE = frozenset("p li blockquote pre td th dd dt h1 h2 h3 h4 h5 h6 caption figcaption".split())
+#: Elements below one another up to which pages share a wrapper; a deeper page has its own.
+DEPTH = 300
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _FRAME = frozenset("html body div section article main aside nav header footer form dialog center table".split())
 
@@ -56,14 +72,16 @@ _NAMES = _DROP_NAMES | {"main"}
 
 
 class Node:
-    __slots__ = ("key", "kids", "names", "tag")
+    __slots__ = ("depth", "key", "kids", "names", "tag")
 
     def __init__(self, tag: str, attrs: str = ""):
         found = {k.lower(): a or b or c for k, a, b, c in _ATTR.findall(attrs)} if attrs else {}
         label = " ".join(found.get(k, "") for k in ("id", "class", "role"))
-        label = re.sub(r"([a-z])([A-Z])", r"\1 \2", label).lower()
-        self.tag, self.kids = tag, []
-        self.names = frozenset(x for x in re.split(r"[^a-z]+", label) if x)
+        label = re.sub(r"([a-z])([A-Z])", r"\1-\2", label).lower()
+        self.tag, self.kids, self.depth = tag, [], 1
+        parts = [[x for x in re.split(r"[^a-z]+", name) if x] for name in label.split()]
+        # a name counts as a whole: cookie-notice is a notice, notice-of-law is not
+        self.names = frozenset(x for p in parts if all(x in _DROP_NAMES or x in _NEUTRAL for x in p) for x in p)
         self.key = tag + "".join(f".{x}" for x in sorted(set(re.sub(r"\d+", "", label).split())))
         if "hidden" in attrs.split() or found.get("aria-hidden") == "true":
             self.names |= {"popup"}
@@ -116,8 +134,9 @@ def parse(page: str) -> Node:
             link = 0
             node = Node(tag, m[3])
             stack[-1].kids.append(node)
-            if tag not in _VOID and len(stack) < 200:
+            if tag not in _VOID:
                 stack.append(node)
+                root.depth = max(root.depth, len(stack))
     text(page[at:])
     return root
 
@@ -168,16 +187,16 @@ def _merge(a: dict, b: dict, pages: bool = True) -> None:
 
 def layout(root: Node) -> str:
     """The page's layout: a digest of the paths of its frames, without those that go by their names."""
-    paths: set[str] = set()
+    paths: set[bytes] = set()
 
-    def walk(n: Node, path: str, inside: bool):
+    def walk(n: Node, path: bytes, inside: bool):
         paths.add(path)
         for k in n.kids:
             if isinstance(k, Node) and k.tag in _FRAME and not named_out(k.tag, k.names, inside):
-                walk(k, f"{path}>{k.key}", inside or k.tag in ("article", "main"))
+                walk(k, hashlib.blake2b(path + k.key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), inside or k.tag in ("article", "main"))
 
-    walk(root, "", False)
-    return hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+    walk(root, b"", False)
+    return hashlib.blake2b(b"".join(sorted(paths)), digest_size=12).hexdigest()
 
 
 def content(root: Node) -> int:
@@ -219,15 +238,17 @@ def _judge(w: dict, contents: list[int]) -> dict:
     pages, several = w["seen"], len(contents) >= CONTENTS
 
     def drop(n: dict, inside: bool = False):
-        fixed = several and n["own"] and not n["kids"] and n["seen"] == pages and not n["many"] and n["tag"] not in _HEADING
+        fixed = several and n["own"] and not n["kids"] and n["seen"] == pages and not n["many"] and n["tag"] not in _PROSE and not inside
         linky = n["chars"] >= 20 and n["links"] > 0.5 * n["chars"]
         n["drop"] = named_out(n["tag"], n["names"], inside) or bool(fixed) or linky
+        n["net"] = n["chars"]  # text that stays
         for k in n["kids"].values():
             drop(k, inside or n["tag"] in ("article", "main"))
+            n["net"] -= k["chars"] - k["net"]
+        if n["drop"]:
+            n["net"] = 0
 
-    def size(n: dict) -> int:
-        return 0 if n["drop"] else n["chars"] - sum(k["chars"] - size(k) for k in n["kids"].values())
-
+    size = operator.itemgetter("net")
     drop(w)
     mains: list[dict] = []
 
@@ -262,7 +283,12 @@ def _judge(w: dict, contents: list[int]) -> dict:
 
 def slim(w: dict | None) -> dict | None:
     """What extraction needs: keep and the children by key."""
-    return None if w is None else {"keep": w["keep"], "kids": {key: slim(k) for key, k in w["kids"].items()}}
+    if w is None:
+        return None
+    out = {"keep": w["keep"], "kids": {}}
+    for key, k in w["kids"].items():
+        out["kids"][key] = slim(k)
+    return out
 
 
 def extract(page: str | None, wrapper: dict | None, root: Node | None = None) -> str:
@@ -304,7 +330,7 @@ def _page_text(page: str | None, wrapper_of) -> str:
     if not page:
         return ""
     root = parse(page)
-    if wrapper := wrapper_of(layout(root)):
+    if root.depth <= DEPTH and (wrapper := wrapper_of(layout(root))):
         if found := extract(page, wrapper, root):
             return found
     return extract(page, slim(_judge(_wrap(root), [])), root)
@@ -326,6 +352,8 @@ def _trees(batches):
             batch = whole.slice(at, 128)
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page)
+                if root.depth > DEPTH:
+                    continue
                 key = host, layout(root)
                 held[key] = _add(held.get(key), _wrap(root), [content(root)])
             n += batch.num_rows
@@ -374,7 +402,10 @@ def html_extract(pages: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([layout(parse(p)) if p else None for p in batch.column(2).to_pylist()], pa.string())], [*batch.schema.names, "layout"])
 
         rows = rows.mapInArrow(named, "page_id long, url string, html string, host string, layout string")
-        rows = rows.join(wrappers, ["host", "layout"], "left").select("page_id", "url", "html", "host", "wrapper")
+        # the pages of a common layout meet its wrapper in SALT parts
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+        wrappers = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.join(wrappers, ["host", "layout", "salt"], "left").select("page_id", "url", "html", "host", "wrapper")
 
     def run(batches):
         read: dict[tuple[str, str], dict | None] = {}

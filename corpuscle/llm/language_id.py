@@ -148,10 +148,16 @@ def sample(labelled: DataFrame, per_language: int) -> tuple[list[np.ndarray], li
     n = F.greatest(F.octet_length("text") - 4 * WINDOW, F.lit(0))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.col("b").substr((n * i / F.lit(max(1, PIECES - 1))).cast("int") + 1, F.lit(4 * WINDOW)))
     order = Window.partitionBy("lang").orderBy("h")
+    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    # of each language the share of hashes that holds about four times the sample: few rows reach the window, however many parts
+    sizes = {r.lang: r.c for r in labelled.groupBy("lang").agg(F.count("*").alias("c")).collect()}  # one row a language
+    shares = [x for lang, c in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, 4 * per_language / c) * 2**62)))]
     rows = (
-        labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-        .select("lang", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("b"), "text")
+        labelled.where(F.col("h").bitwiseAND(F.lit(2**62 - 1)) <= F.create_map(*shares)[F.col("lang")] if shares else F.lit(False))
+        .select("lang", "h", F.col("text").cast("binary").alias("b"), "text")
         .select("lang", "h", pieces.alias("p"))
+        .groupBy("lang", "h")
+        .agg(F.first("p").alias("p"))  # copies count once
         .withColumn("k", F.row_number().over(order))
         .where(F.col("k") <= per_language)
         .orderBy("lang", "k")
@@ -199,17 +205,21 @@ def identified(docs: DataFrame, per_language: int = 400) -> DataFrame:
     """
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     pieces, labels = sample(docs.where(~held_out()).select(text.alias("text"), lang.alias("lang")), per_language)
-    rows = docs.select(text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    at = docs.columns.index("text")
+    as_it_is = isinstance(docs.schema["text"].dataType, T.StringType)
+    if not as_it_is:
+        rows = rows.withColumn("text", text)
     if not pieces:
         return rows.select("row", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     net = docs.sparkSession.sparkContext.broadcast(train(pieces, labels))
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
-                lang, score = predict(net.value, texts(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                lang, score = predict(net.value, texts(batch.column(0).field(at) if as_it_is else batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
