@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpuscle.llm.bpe import bpe_round_trip
-from corpuscle.llm.common import saved, table
+from corpuscle.llm.common import saved, small_batches, table
 from corpuscle.llm.language_id import accepted
 from corpuscle.llm.mixing import in_written_order, mixed
 from corpuscle.llm.ngram_join import one_of_each
@@ -44,7 +44,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all of documents, each reading what the one before has written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    with small_batches(spark):
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), name)
     return docs

@@ -401,6 +401,7 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
             keys, shared, _ = order.value.prefix(t, num, den)
             yield keys[shared]
 
+    bits = None
     if fits(keys or 0):
         bits = spark.sparkContext.broadcast(repeated_bits(docs, keys_of, width_for((keys or 0) / 4)))
         rows = _join_rows(docs, n, order, bits, num, den)
@@ -410,6 +411,9 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     first = copies.groupBy("d1", "d2").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
     same = saved(copies.join(first, ["d1", "d2"]).where("id <> b").select("id", "b", "d1", "d2"), "same")
     rows = saved(rows.join(if_small(same.select(F.col("id").alias("doc"), "d1", "d2")), ["doc", "d1", "d2"], "left_anti"), "points")  # one document of each set
+    order.destroy()  # all that needs it is written
+    if bits is not None:
+        bits.destroy()
 
     star_links = saved(_verified(_near_enough(saved(_stars(rows, num, den), "centres"), rows, num, den), rows, num, den), "stars")
     groups = connected_components(star_links, "groups").select(F.col("vertex").alias("doc"), F.col("component").alias("comp"))
