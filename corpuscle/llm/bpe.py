@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .perfect_hash import PerfectHash
 from .units import UnitTable
 from .words import ranges, slices
@@ -130,4 +131,4 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, place: str | None =
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(begin)), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string()), *batch.columns[2:]], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *batch.schema.names[2:]])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", place long" if place else ""))
+    return docs.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", place long" if place else ""))

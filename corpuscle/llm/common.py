@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 import numpy as np
@@ -38,6 +40,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(fn):
+    """fn over a task's batches; at the end its worker, which lives on, gives memory that is free back to the system."""
+
+    @functools.wraps(fn)
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 256):
     """Within, Spark hands Python tasks at most so many rows at a time, so whole texts take little room beside the heap."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import texts, tidy
 
 WINDOW = 96
 HIDDEN = 6
@@ -221,7 +221,7 @@ def identified(docs: DataFrame, per_language: int = 400) -> DataFrame:
                 lang, score = predict(net.value, texts(batch.column(0).field(at) if as_it_is else batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def language_id(docs: DataFrame, per_language: int = 400) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, mix64, saved
+from .common import if_small, mix64, saved, tidy
 from .components import connected_components
 from .sketch import MAX_WIDTH, counted, fits, maybe_repeated, merged_bits, repeated_bits, width_for
 from .words import grams, ranges, slices, words_of
@@ -47,7 +47,7 @@ GROUPS = 64
 LEAF = 32
 CELL = 2048
 #: Tokens of which a task counts repeats at a time.
-TALLY = 1 << 21
+TALLY = 1 << 19
 #: Different sets a task remembers.
 SEEN = 1 << 16
 #: Pairs of one document that meet its set together.
@@ -83,8 +83,10 @@ class _Order:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, low: np.uint64, bits: np.ndarray):
         at = np.argsort(tokens)
         self.tokens, self.rank, self.low, self.bits = tokens[at], np.log2(counts[at]).astype(np.int64) + 2, low, bits
-        self.mark = np.zeros(1 << 24, bool)  # spares most tokens the search
-        self.mark[(tokens >> np.uint64(40)).astype(np.int64)] = True
+        size = max(8, min(24, int(np.ceil(np.log2(16 * len(tokens) + 1)))))
+        self.shift = np.uint64(64 - size)
+        self.mark = np.zeros(1 << size, bool)  # spares most tokens the search
+        self.mark[(tokens >> self.shift).astype(np.int64)] = True
 
     def prefix(self, tokens: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, int]:
         """The document's keys, in order, which of them another document may have, and its number of tokens that aren't frequent."""
@@ -95,7 +97,7 @@ class _Order:
         rank = np.ones(n, np.int64)
         low = np.searchsorted(tokens, self.low)
         rank[:low] = 2 * maybe_repeated(self.bits, tokens[:low])
-        some = np.flatnonzero(self.mark[(tokens >> np.uint64(40)).astype(np.int64)])
+        some = np.flatnonzero(self.mark[(tokens >> self.shift).astype(np.int64)])
         if len(some):
             at = np.minimum(np.searchsorted(self.tokens, tokens[some]), len(self.tokens) - 1)
             hit = self.tokens[at] == tokens[some]
@@ -159,7 +161,7 @@ def _classes_and_counts(docs: DataFrame, n: int, low: np.uint64, width: int, eve
         if held:
             yield from tally()
 
-    return saved(docs.mapInArrow(run, "kind byte, id long, n long, d1 long, d2 long, one binary, more binary"), "sets")
+    return saved(docs.mapInArrow(tidy(run), "kind byte, id long, n long, d1 long, d2 long, one binary, more binary"), "sets")
 
 
 def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> DataFrame:
@@ -189,7 +191,7 @@ def _join_rows(docs: DataFrame, n: int, order, bits, num: int, den: int) -> Data
         if cols[0]:
             yield out()
 
-    return docs.mapInArrow(run, "doc long, d1 long, d2 long, n long, rare long, keys array<long>, places array<int>, point binary, tokens binary")
+    return docs.mapInArrow(tidy(run), "doc long, d1 long, d2 long, n long, rare long, keys array<long>, places array<int>, point binary, tokens binary")
 
 
 def _near_enough(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -203,7 +205,7 @@ def _near_enough(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
             yield batch.select([0, 1]).filter(pa.array((num + den) * both >= num * (p + q).sum(axis=1)))
 
     both = pairs.join(points.toDF("a", "p"), "a").join(points.toDF("b", "q"), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "p", "q").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -232,7 +234,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFram
                 yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     both = dealt.join(sets["a"], ["a", "part_a"]).join(sets["b"], ["b", "part_b"])
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(tidy(run), "a long, b long")
 
 
 class _Node:
@@ -353,7 +355,7 @@ def _candidates(cells: DataFrame, num: int, den: int) -> DataFrame:
             t = pa.Table.from_batches(held)
             yield search(t, np.array([0, t.num_rows]))
 
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _cells(rows: DataFrame, groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -387,7 +389,7 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     share = min(1.0, 2.5 * (den - num) / den)  # more than the keys, so that tokens that occur once can fill them
     low, tokens = np.uint64(min(int(share * 2**64), 2**64 - 1)), share * size / 6  # about six bytes a word
     every = max(1, int(np.ceil(2 * tokens / MAX_WIDTH)))
-    width = width_for(tokens / every)
+    width = width_for(tokens / every, 1.5)
     found = _classes_and_counts(docs, n, low, width, every)
     sets = found.where("kind = 0").select("id", "n", "d1", "d2")
     total, keys = sets.agg(F.sum("n"), F.sum(F.col("n") * (den - num) / F.lit(den) + 1)).first()
@@ -432,7 +434,7 @@ def _sharing(docs: DataFrame, n: int, order, num: int, den: int) -> DataFrame:
                 keys = keys[shared].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), doc_id)), pa.array(keys)], ["doc_id", "key"])
 
-    keyed = saved(docs.mapInArrow(run, "doc_id long, key long"), "keys")
+    keyed = saved(docs.mapInArrow(tidy(run), "doc_id long, key long"), "keys")
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("*").alias("c")).where("c > 1").select("key")
     return docs.join(saved(keyed.join(shared, "key", "left_semi").select("doc_id").distinct(), "sharing"), "doc_id", "left_semi")
 

@@ -17,16 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: Counters to a block; offsets inside one fit in 16 bits.
 BLOCK = 1 << 16
 MIN_WIDTH, MAX_WIDTH = 1 << 18, 1 << 28
 #: Keys a task gathers before it writes their counters.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 #: Parts in which the keys of one counter meet it.
 SALT = 8
 
 
-def width_for(keys: float, each: int = 8) -> int:
+def width_for(keys: float, each: float = 8) -> int:
     """Counters a row for about this many keys, within MIN_WIDTH and MAX_WIDTH."""
     return int(min(MAX_WIDTH, max(MIN_WIDTH, 1 << int(np.ceil(np.log2(max(each * keys, 1)))))))
 
@@ -75,7 +77,7 @@ def repeated_bits(df: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np
         if n:
             yield from out()
 
-    return merged_bits(df.mapInArrow(count, "block int, one binary, more binary"), width)
+    return merged_bits(df.mapInArrow(tidy(count), "block int, one binary, more binary"), width)
 
 
 def counted(held: list[np.ndarray], width: int, rows: int = 2) -> list[tuple[int, bytes, bytes]]:
@@ -104,7 +106,7 @@ def merged_bits(blocks: DataFrame, width: int, rows: int = 2) -> np.ndarray:
             yield bits()
 
     bits = np.zeros((rows * width // BLOCK, BLOCK // 8), np.uint8)
-    merged = blocks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    merged = blocks.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(tidy(merge), "block int, bits binary")
     found = merged.toArrow()  # one bit a counter: bounded by MAX_WIDTH
     for b, x in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
         bits[b] = np.frombuffer(x.as_buffer(), np.uint8)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, saved, texts
+from .common import mix64, saved, texts, tidy
 from .sketch import SALT, fits, maybe_repeated, repeated_bits, shared_slots, slot_of, width_for
 from .words import grams, ranges, slices, sliding_argmin, words_of
 
@@ -127,11 +127,11 @@ class _Estimate:
                         k, n = np.unique(keys, return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], ["key", "n"])
 
-            self.slots = saved(shared_slots(docs.select("text").mapInArrow(run, "key long, n long"), anchors), "counters")
+            self.slots = saved(shared_slots(docs.select("text").mapInArrow(tidy(run), "key long, n long"), anchors), "counters")
 
     def spans(self, docs: DataFrame, window: int, with_windows: bool) -> DataFrame:
         bits = self.bits
-        found = docs.select("text", "d1", "d2").mapInArrow(lambda b: _spans(b, window, bits and bits.value, with_windows), _SPAN + ", windows array<long>" * with_windows)
+        found = docs.select("text", "d1", "d2").mapInArrow(tidy(lambda b: _spans(b, window, bits and bits.value, with_windows)), _SPAN + ", windows array<long>" * with_windows)
         if self.slots is None:
             return found
         met = found.withColumns({"slot": slot_of("anchor", self.anchors), "salt": F.pmod("d1", F.lit(SALT)).cast("int")})
@@ -235,7 +235,7 @@ def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([packed, *(batch.column(i).filter(wait) for i in (1, 3, 4))], ["packed", "row", "d1", "d2"])
 
     row = docs.schema["row"]
-    packed = docs.mapInArrow(pack, T.StructType([T.StructField("packed", T.BinaryType()), row, *(T.StructField(n, T.LongType()) for n in ("d1", "d2"))]))
+    packed = docs.mapInArrow(tidy(pack), T.StructType([T.StructField("packed", T.BinaryType()), row, *(T.StructField(n, T.LongType()) for n in ("d1", "d2"))]))
     joined = packed.join(info, ["d1", "d2"], "left").select("row", "packed", "copies", "starts")
 
     def cut(batches):
@@ -252,8 +252,8 @@ def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
 
     kinds = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
     schema = T.StructType([row, *(T.StructField(n, k) for n, k in kinds)])
-    found = joined.mapInArrow(cut, schema)
-    return found.union(docs.mapInArrow(done, schema))
+    found = joined.mapInArrow(tidy(cut), schema)
+    return found.union(docs.mapInArrow(tidy(done), schema))
 
 
 def substring_dedup(docs: DataFrame, window: int = 35) -> DataFrame:
