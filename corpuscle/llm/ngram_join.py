@@ -80,8 +80,9 @@ class _Order:
     Classes: 0 low tokens that occur once, 1 tokens that aren't low, 2 other low tokens, from 3 frequent tokens.
     """
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray, low: np.uint64, bits: np.ndarray):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, low: np.uint64, bits: np.ndarray, every: int):
         at = np.argsort(tokens)
+        self.every = every  # beyond 1, a token that isn't met twice among the counted texts may still occur in others
         self.tokens, self.rank, self.low, self.bits = tokens[at], np.log2(counts[at]).astype(np.int64) + 2, low, bits
         size = max(8, min(24, int(np.ceil(np.log2(16 * len(tokens) + 1)))))
         self.shift = np.uint64(64 - size)
@@ -103,7 +104,7 @@ class _Order:
             hit = self.tokens[at] == tokens[some]
             rank[some[hit]] = self.rank[at[hit]]
         first = np.argsort(rank, kind="stable")[:p]
-        return tokens[first], rank[first] > 0, int((rank < 3).sum())
+        return tokens[first], (rank[first] > 0) | (self.every > 1), int((rank < 3).sum())
 
 
 def _unseen(batches: Iterator[pa.RecordBatch], n: int):
@@ -396,7 +397,7 @@ def ngram_links(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame,
     floor = max(32, (total or 0) // (1 << 20))
     hot = found.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= floor).toArrow()  # at most 2**20 rows: their counts sum to no more than the total
     once = merged_bits(found.where("kind = 2").select(F.col("id").cast("int").alias("block"), "one", "more"), width, 1)
-    order = spark.sparkContext.broadcast(_Order(hot.column("id").to_numpy().view(np.uint64), hot.column("n").to_numpy(), low, once))
+    order = spark.sparkContext.broadcast(_Order(hot.column("id").to_numpy().view(np.uint64), hot.column("n").to_numpy(), low, once, every))
 
     def keys_of(batch):
         for _, _, t in _unseen(iter([batch]), n):
