@@ -1,6 +1,8 @@
 """BM25 over distinct tokens, for whole batches of queries.
 
-Postings are exploded once; document frequencies and lengths combine before the shuffle; queries meet postings by token.
+Texts are cut into tokens twice: once to count the documents of asked tokens, which combine before the shuffle, and once to
+score.  Weights of asked tokens reach the scan as a broadcast where the batch is small (counted first), so a common token
+is no shuffle key; only a query's partial sums for a document are shuffled.
 Scores are rounded to 9 places before they rank, so that sums in another order don't decide.
 """
 
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 from corpuscle.functions.text import search_tokens
 
 K1, B = 1.5, 0.75
+#: Tokens of a batch of queries that every task may hold.
+SMALL_BATCH = 1 << 18
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,11 +37,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, where: Column | None = Non
     A filter limits what is ranked, never the corpus statistics.
     """
     asked = queries.select("query_id", F.explode(search_tokens("query")).alias("token"))
-    lengths = docs.select(F.col(id_col).alias("chunk_id"), F.size(search_tokens(text_col)).alias("dl"), (where if where is not None else F.lit(True)).alias("allowed"))
-    stats = corpus_stats(docs, id_col, text_col)
-    df = token_df(docs, id_col, text_col).join(asked.select("token").distinct(), "token", "left_semi")
-    idf = df.join(stats, F.lit(True)).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_dl")
-    hits = postings(docs, id_col, text_col).join(asked, "token").join(idf, "token").join(lengths.where("allowed"), "chunk_id")
+    tokens = docs.select(F.col(id_col).alias("chunk_id"), search_tokens(text_col).alias("tokens"), (where if where is not None else F.lit(True)).alias("allowed"))
+    small = F.broadcast if asked.count() <= SMALL_BATCH else (lambda df: df)
+    # the empty token stands for the document, and sums lengths
+    named = asked.select("token").distinct().union(docs.sparkSession.range(1).select(F.lit("").alias("token")))
+    counts = tokens.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")).join(small(named), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
+    stats = counts.where("token = ''").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avg_dl"))
+    idf = counts.where("token <> ''").join(stats, F.lit(True)).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_dl")
+    hits = tokens.where("allowed").select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(small(asked.join(idf, "token")), "token")
     norm = F.when(F.col("avg_dl") == 0, F.lit(1.0)).otherwise(1 - B + B * F.col("dl") / F.col("avg_dl"))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * (K1 + 1) / (1 + K1 * norm)), 9).alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

@@ -22,15 +22,18 @@ SCORED = "s AS (SELECT q.query_id, p.doc_id AS chunk_id, round(sum(ln(1 + (st.n
 LEXICAL = "l AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS lexical_rank FROM s WHERE score > 0 QUALIFY lexical_rank <= {0})"
 ASKED = f"q AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS token FROM benchmark)"
 DIST = "round(list_sum(list_transform(list_zip({0}, {1}), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)))), 9)"
-DENSE = f"qv AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id < 20), dd AS (SELECT query_id, vec_id AS chunk_id, label, {DIST.format('embedding', 'qe')} AS dist FROM embeddings, qv)"
+#: Query vectors: every fiftieth; for questions, the vector of the question's number.
+NEAR = f"dd AS (SELECT query_id, vec_id AS chunk_id, label, {DIST.format('embedding', 'qe')} AS dist FROM embeddings, qv)"
+DENSE = f"qv AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0), {NEAR}"
+ASKED_DENSE = f"qv AS (SELECT item_id AS query_id, embedding AS qe FROM benchmark JOIN embeddings ON vec_id = item_id), {NEAR}"
 
 
 def _asked(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _vectors(t: Tables, n: int = 20) -> DataFrame:
-    return t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+def _vectors(t: Tables) -> DataFrame:
+    return t.embeddings.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 @query(f"SELECT doc_id, {NORM.format('text')} AS norm, CASE WHEN length({NORM.format('text')}) <= 180 THEN {NORM.format('text')} ELSE rtrim(left({NORM.format('text')}, 177)) || '...' END AS snippet FROM documents")
@@ -77,12 +80,11 @@ def content_hash_dedupe(t: Tables) -> DataFrame:
     return t.documents.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-@query("SELECT lang AS doc, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint, count(*) AS n_chunks FROM documents GROUP BY lang")
+@query("SELECT doc_id, sha256(array_to_string(list_transform(string_split(text, chr(10)), lambda x: sha256(x)), chr(10))) AS fingerprint, CAST(len(string_split(text, chr(10))) AS INT) AS n_chunks FROM documents")
 def fingerprint(t: Tables) -> DataFrame:
-    """A digest of a document's chunks in their order; it changes when any of them does."""
-    rows = t.documents.select("lang", F.struct("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h")).alias("c"))
-    parts = F.transform(F.array_sort(F.collect_list("c")), lambda c: c.h)
-    return rows.groupBy(F.col("lang").alias("doc")).agg(F.sha2(F.array_join(parts, "\n").cast("binary"), 256).alias("fingerprint"), F.count("*").alias("n_chunks"))
+    """A digest of a document's chunks (its lines) in their order; it changes when any of them does."""
+    lines = F.split("text", "\n", -1)
+    return t.documents.select("doc_id", F.sha2(F.array_join(F.transform(lines, lambda x: F.sha2(x.cast("binary"), 256)), "\n").cast("binary"), 256).alias("fingerprint"), F.size(lines).alias("n_chunks"))
 
 
 @query(
@@ -125,14 +127,16 @@ def dense_postfilter(t: Tables) -> DataFrame:
     return dense_topk(t.embeddings, _vectors(t), 30, where=F.col("label") <= 4)
 
 
-HYBRID = f"""{POST}, {ASKED}, {SCORED.format('true')}, {LEXICAL.format(30)}, {DENSE},
+HYBRID = f"""{POST}, {ASKED}, {SCORED.format('true')}, {LEXICAL.format(30)}, {ASKED_DENSE},
 dn AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, chunk_id) AS INT) AS dense_rank FROM dd QUALIFY dense_rank <= 30),
-b AS (SELECT coalesce(dn.query_id, l.query_id) AS query_id, coalesce(dn.chunk_id, l.chunk_id) AS chunk_id, dense_rank, lexical_rank FROM dn FULL JOIN (SELECT * FROM l WHERE query_id < 20) l ON dn.query_id = l.query_id AND dn.chunk_id = l.chunk_id),
+b AS (SELECT coalesce(dn.query_id, l.query_id) AS query_id, coalesce(dn.chunk_id, l.chunk_id) AS chunk_id, dense_rank, lexical_rank FROM dn FULL JOIN l ON dn.query_id = l.query_id AND dn.chunk_id = l.chunk_id),
 f AS (SELECT *, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + lexical_rank), 0), 9) AS fusion_score, coalesce(least(dense_rank, lexical_rank), 10000) AS best_rank FROM b)"""
 
 
 def hybrid(t: Tables, k: int = 20) -> DataFrame:
-    return rrf(dense_topk(t.embeddings, _vectors(t), 30), bm25(t.documents, _asked(t).where("query_id < 20"), 30), k)
+    """Every question, by its words and by the vector of its number."""
+    vectors = _asked(t).join(t.embeddings.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id").select("query_id", "query_vector")
+    return rrf(dense_topk(t.embeddings, vectors, 30), bm25(t.documents, _asked(t), 30), k)
 
 
 @query(f"WITH {HYBRID} SELECT query_id, chunk_id, coalesce(dense_rank, 0) AS dense_rank, coalesce(lexical_rank, 0) AS lexical_rank, fusion_score, best_rank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, best_rank, chunk_id) AS INT) AS fusion_rank FROM f QUALIFY fusion_rank <= 20")
@@ -141,7 +145,7 @@ def hybrid_rrf(t: Tables) -> DataFrame:
     return hybrid(t).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("dense_rank", "lexical_rank")})
 
 
-VARIANTS = f"""{POST}, qq AS (SELECT item_id AS query_id, 'original' AS variant_id, 1.0 AS weight, text AS v FROM benchmark UNION ALL SELECT item_id, 'keyword_focused', 0.92, left(text, 60) FROM benchmark),
+VARIANTS = f"""{POST}, qq AS (SELECT item_id AS query_id, 'original' AS variant_id, 1.0 AS weight, text AS v FROM benchmark UNION ALL SELECT item_id, 'keyword_focused', 0.92, regexp_replace(text, '\\b(the|of|and|in|to|is|for|or)\\b', ' ', 'gi') FROM benchmark),
 q AS (SELECT query_id, variant_id, weight, unnest({TOKENS.format('v')}) AS token FROM qq),
 s AS (SELECT q.query_id, q.variant_id, q.weight, p.doc_id AS chunk_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * 2.5 / (1 + 1.5 * (1 - 0.75 + 0.75 * len(d.toks) / st.a))), 9) AS score FROM q JOIN p USING (token) JOIN df USING (token) JOIN d ON d.doc_id = p.doc_id, st GROUP BY 1, 2, 3, 4),
 l AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_id ORDER BY score DESC, chunk_id) AS rank FROM s WHERE score > 0 QUALIFY rank <= 30)"""
@@ -149,7 +153,7 @@ l AS (SELECT *, row_number() OVER (PARTITION BY query_id, variant_id ORDER BY sc
 
 def _variant_lists(t: Tables) -> DataFrame:
     asked = _asked(t)
-    variants = asked.select(F.col("query_id").alias("item"), F.explode(F.array(F.struct(F.lit("original").alias("variant_id"), F.lit(1.0).alias("weight"), F.col("query")), F.struct(F.lit("keyword_focused").alias("variant_id"), F.lit(0.92).alias("weight"), F.left("query", F.lit(60)).alias("query")))).alias("v")).select(F.struct("item", "v.variant_id", "v.weight").alias("query_id"), "v.query")
+    variants = asked.select(F.col("query_id").alias("item"), F.explode(F.array(F.struct(F.lit("original").alias("variant_id"), F.lit(1.0).alias("weight"), F.col("query")), F.struct(F.lit("keyword_focused").alias("variant_id"), F.lit(0.92).alias("weight"), F.regexp_replace("query", r"(?i)\b(the|of|and|in|to|is|for|or)\b", " ").alias("query")))).alias("v")).select(F.struct("item", "v.variant_id", "v.weight").alias("query_id"), "v.query")
     return bm25(t.documents, variants, 30).select("query_id.item", "query_id.variant_id", "query_id.weight", "chunk_id", F.col("lexical_rank").alias("rank")).withColumnRenamed("item", "query_id")
 
 

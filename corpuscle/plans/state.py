@@ -143,10 +143,10 @@ def citation_correctness(t: Tables) -> DataFrame:
 MATCH = "lower(regexp_replace({0}, '[^\\p{{L}}\\p{{M}}\\p{{N}}_]+', '', 'g'))"
 
 
-@query(f"WITH {POST}, {ASKED}, {SCORED.format('true')}, {LEXICAL.format(4)} SELECT b.item_id AS query_id, coalesce(bool_or(contains({MATCH.format('d.text')}, {MATCH.format('left(b.text, 60)')})), false) AS snippet_hit FROM benchmark b LEFT JOIN l ON l.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = l.chunk_id GROUP BY 1")
+@query(f"WITH {POST}, {ASKED}, {SCORED.format('true')}, {LEXICAL.format(4)} SELECT b.item_id AS query_id, coalesce(bool_or(contains({MATCH.format('d.text')}, {MATCH.format('b.text')})), false) AS snippet_hit FROM benchmark b LEFT JOIN l ON l.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = l.chunk_id GROUP BY 1")
 def snippet_hit(t: Tables) -> DataFrame:
     hits = bm25(t.documents, _asked(t), 4).join(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")), "chunk_id")
-    return evaluate.snippet_hits(t.benchmark.select(F.col("item_id").alias("query_id"), F.left("text", F.lit(60)).alias("expected")), hits.select("query_id", "content"))
+    return evaluate.snippet_hits(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("expected")), hits.select("query_id", "content"))
 
 
 @query("SELECT CASE WHEN quality = 1 THEN 'ok' ELSE 'fallback' END AS status, CASE WHEN toxic = 1 THEN 'unsupported' ELSE 'none' END AS reason, count(*) AS n, round(coalesce(avg(CASE WHEN quality = 1 THEN quality END), 0), 6)::DOUBLE AS mean_ok FROM labels GROUP BY 1, 2")
