@@ -34,46 +34,56 @@ def token_pattern() -> str:
 
 
 def op1_mix_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and place of every document in the mixture of sources; an empty table gives no rows."""
     return mix_schedule(table(spark, sf_dir, "documents"), block=32)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; `und` for null texts and texts without a letter."""
     return language_id(table(spark, sf_dir, "documents"), per_language=400)
 
 
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; empty for null or empty pages."""
     return html_extract(table(spark, sf_dir, "pages"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document and those removed as parts of repeated windows; a null text has none."""
     return substring_dedup(table(spark, sf_dir, "documents"), window=35)
 
 
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of the ids of every document, read back from the shards; a null text is its end id."""
     path = new_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
     return read_tokens(spark, path)
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and decoded bytes of every document; a null text is empty."""
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), token_pattern())
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; null texts and null ids link with nothing."""
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, threshold=(9, 10))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, failures and verdict of policy 2 for every document; a null text has no words."""
     ledger = apply_policy(rule_ledger(table(spark, sf_dir, "documents")), version=2)
     base = F.col("failures").bitwiseAND(F.lit(BASE).cast("long")) != 0
     return ledger.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures", "policy_version")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20; unusable vectors take no part."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses found in every document; none in null texts."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 
