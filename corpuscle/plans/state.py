@@ -86,7 +86,7 @@ def active_chunks(t: Tables) -> DataFrame:
 
 @query(f"WITH {LINES} SELECT * FROM (SELECT doc_id, block_order AS source, 'next_block' AS edge_type, lead(block_order) OVER w AS target, 0.72::DOUBLE AS weight FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY block_order) UNION ALL SELECT doc_id, block_order, 'prev_block', lag(block_order) OVER w, 0.72 FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY block_order)) WHERE target IS NOT NULL")
 def block_neighbors(t: Tables) -> DataFrame:
-    return graph.neighbors(graph.lines(t.documents))
+    return graph.neighbors(graph.lines(t.documents)).select("doc_id", "source", "edge_type", "target", "weight")
 
 
 @query(f"WITH {LINES}, e AS (SELECT * FROM (SELECT doc_id, block_order AS source, 'next_block' AS edge_type, lead(block_order) OVER w AS target FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY block_order) UNION ALL SELECT doc_id, block_order, 'prev_block', lag(block_order) OVER w FROM ln WINDOW w AS (PARTITION BY doc_id ORDER BY block_order)) WHERE target IS NOT NULL) SELECT doc_id, source, string_agg(edge_type || ':' || target, ',' ORDER BY edge_type, target) AS edges, string_agg(target, ',' ORDER BY edge_type, target) AS neighbors FROM e GROUP BY 1, 2")
