@@ -21,6 +21,15 @@ def word_windows(docs: DataFrame, budget: int = BUDGET, overlap: int | None = No
     return rows.select("doc_id", F.posexplode(parts).alias("chunk_index", "text"), F.col("n").alias("chunk_count"))
 
 
+def windows(text, budget: int = BUDGET, overlap: int | None = None) -> Column:
+    """The windows of `word_windows` as an array, for one text."""
+    over = min(OVERLAP, budget // 4) if overlap is None else overlap
+    step = budget - over
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    n = F.greatest(F.lit(1), F.ceil((F.size(words) - over) / step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.slice(words, i * step + 1, F.lit(budget)), " "))
+
+
 def pack(lines: Column, budget: int, header: Column | None = None) -> Column:
     """Greedy packing: lines joined in order while the header and they keep to the budget; structs of first, last, text.
 
