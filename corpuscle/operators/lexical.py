@@ -34,17 +34,21 @@ def token_df(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def bm25(docs: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, chunk_id, score, lexical_rank of the k best of each query; queries: query_id, query.
 
-    A filter limits what is ranked, never the corpus statistics.
+    A filter limits what is ranked, never the corpus statistics.  Where queries have `only`, an array or null, the rows
+    of a query are those whose block_type is in it.
     """
-    asked = queries.select("query_id", F.explode(search_tokens("query")).alias("token"))
-    tokens = docs.select(F.col(id_col).alias("chunk_id"), search_tokens(text_col).alias("tokens"), (where if where is not None else F.lit(True)).alias("allowed"))
+    aimed = "only" in queries.columns
+    asked = queries.select("query_id", *(["only"] if aimed else []), F.explode(search_tokens("query")).alias("token"))
+    tokens = docs.select(F.col(id_col).alias("chunk_id"), search_tokens(text_col).alias("tokens"), (where if where is not None else F.lit(True)).alias("allowed"), *(["block_type"] if aimed else []))
     small = F.broadcast if asked.count() <= SMALL_BATCH else (lambda df: df)
     # the empty token stands for the document, and sums lengths
     named = asked.select("token").distinct().union(docs.sparkSession.range(1).select(F.lit("").alias("token")))
     counts = tokens.select(F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("token")).join(small(named), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("dl"))
     stats = counts.where("token = ''").select(F.col("df").alias("n_docs"), (F.col("dl") / F.col("df")).alias("avg_dl"))
     idf = counts.where("token <> ''").join(stats, F.lit(True)).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_dl")
-    hits = tokens.where("allowed").select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("token")).join(small(asked.join(idf, "token")), "token")
+    hits = tokens.where("allowed").select("chunk_id", F.size("tokens").alias("dl"), *(["block_type"] if aimed else []), F.explode("tokens").alias("token")).join(small(asked.join(idf, "token")), "token")
+    if aimed:
+        hits = hits.where(F.col("only").isNull() | F.array_contains("only", F.col("block_type")))
     norm = F.when(F.col("avg_dl") == 0, F.lit(1.0)).otherwise(1 - B + B * F.col("dl") / F.col("avg_dl"))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * (K1 + 1) / (1 + K1 * norm)), 9).alias("score")).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

@@ -19,8 +19,10 @@ STOP_WORDS = """a an the is are was were be to of for and or in on at by how wha
 please explain meaning tradeoff result results interpret interpretation 请 帮 一下 怎么 如何 什么 哪个 哪些 以及 或者 还有 和 的 与 及""".split()
 SECTION_STOP_WORDS = [*STOP_WORDS, *"说明 解释 含义 结果 权衡 图 表 公式 页 节 第".split()]
 KEYWORD_STOP_WORDS = [*STOP_WORDS, *"比较 说明 解释 含义 结果 权衡".split()]
+BROAD = r"(?i)总结|比较|区别|原理|设计|概览|overview|compare|difference|design|architecture|workflow|summary"
+FOLLOW_UP = r"(?i)\b(?:it|this|that|these|those|they|them|he|she|there)\b|这个|那个|这些|那些|上面|前面|刚才"
 LITERAL_SHARE = 0.34
-DEFAULTS = {"dense": 30, "lexical": 30, "fusion": 20}
+SHORT_QUERY = 5
 
 
 def _upper_inside(x: Column) -> Column:
@@ -41,7 +43,8 @@ def analyze(queries: DataFrame) -> DataFrame:
     return rows.withColumns({
         "literal_ratio": F.when(F.col("token_count") > 0, literal / F.col("token_count")).otherwise(0.0),
         "has_structure": q.rlike(STRUCTURE), "has_explain": q.rlike(EXPLAIN), "has_error": q.rlike(ERROR),
-        "has_code": q.rlike(CODE) | (camel >= 2), "has_regulation": q.rlike(REGULATION),
+        "has_code": q.rlike(CODE) | (camel >= 2), "has_regulation": q.rlike(REGULATION), "has_broad": q.rlike(BROAD),
+        "is_short": F.col("token_count") <= SHORT_QUERY, "is_follow_up": q.rlike(FOLLOW_UP) & (F.col("token_count") <= max(6, SHORT_QUERY + 1)),
     })
 
 

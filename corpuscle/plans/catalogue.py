@@ -1,6 +1,6 @@
 """All queries of the library itself."""
 
-from . import assembly, planning, relations, retrieval, state, structure  # noqa: F401
+from . import answering, assembly, planning, relations, retrieval, state, structure  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -41,9 +41,10 @@ def _planned(t: Tables) -> DataFrame:
     return planner.plan(planner.route(planner.analyze(_queries(t))))
 
 
-@query(f"WITH {ASKED_SQL} SELECT query_id, normalized, token_count, round(literal_ratio, 6) AS literal_ratio, has_structure, has_explain, has_error, has_code, has_regulation FROM r")
+@query(f"""WITH {ASKED_SQL} SELECT query_id, normalized, token_count, round(literal_ratio, 6) AS literal_ratio, has_structure, has_explain, has_error, has_code, has_regulation,
+    regexp_matches(normalized, '(?i)overview|compare|difference|design|architecture|workflow|summary') AS has_broad, token_count <= 5 AS is_short, token_count <= 6 AND regexp_matches(normalized, '(?i)\\b(?:it|this|that|these|those|they|them|he|she|there)\\b') AS is_follow_up FROM r""")
 def query_analyze(t: Tables) -> DataFrame:
-    return planner.analyze(_queries(t)).select("query_id", "normalized", "token_count", F.round("literal_ratio", 6).alias("literal_ratio"), "has_structure", "has_explain", "has_error", "has_code", "has_regulation")
+    return planner.analyze(_queries(t)).select("query_id", "normalized", "token_count", F.round("literal_ratio", 6).alias("literal_ratio"), "has_structure", "has_explain", "has_error", "has_code", "has_regulation", "has_broad", "is_short", "is_follow_up")
 
 
 @query(f"WITH {ASKED_SQL} SELECT query_id, route FROM r")
