@@ -27,6 +27,8 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -169,21 +171,35 @@ def _covered(n: int, starts: list[dict], window: int) -> np.ndarray:
     return np.cumsum(edge[:n]) > 0
 
 
+#: White space as the one space that joins words.
+_SPACES = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
+
+
+def _joined(text: bytes | None) -> bytes:
+    """The words of a text joined by one space, without a list of them."""
+    t = (text or b"").translate(_SPACES).strip(b" ")
+    while b"  " in t:
+        t = t.replace(b"  ", b" ")
+    return t
+
+
 class _Results:
     """Rows of results, in one batch."""
 
     def __init__(self, keep_text: bool):
         self.keep_text, self.at, self.cols = keep_text, [], ([], [], [], [])
 
-    def add(self, at: int, text: bytes | None, words: list[bytes], gone: np.ndarray | bool):
-        n = len(words)
-        if gone is True:
-            words, removed = [], n
-        elif gone is False:
+    def add(self, at: int, text: bytes | None, gone: Callable[[int], np.ndarray | bool]):
+        """gone tells from the number of words which ones go, or whether all do."""
+        kept = _joined(text)
+        n = kept.count(b" ") + 1 if kept else 0
+        lost = gone(n)
+        if lost is True:
+            kept, removed = b"", n
+        elif lost is False:
             removed = 0
         else:
-            words, removed = [w for w, g in zip(words, gone.tolist(), strict=True) if not g], int(gone.sum())
-        kept = b" ".join(words)
+            kept, removed = b" ".join(itertools.compress(kept.split(b" "), (~lost).tolist())) if n else kept, int(lost.sum())
         self.at.append(at)
         for c, v in zip(self.cols, (n, removed, hashlib.sha256(kept).hexdigest(), (kept if removed else text) if self.keep_text else None), strict=True):
             c.append(v)
@@ -222,8 +238,7 @@ def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 out, hot = _Results(keep_text), batch.column(2).to_pylist()
                 alone = np.flatnonzero(~waits(batch))
                 for i, b in zip(alone.tolist(), texts(batch.column(0).take(pa.array(alone))), strict=True):
-                    words = b.split() if b is not None else []
-                    out.add(i, b, words, hot[i] and len(words) >= window)
+                    out.add(i, b, lambda n, hot=hot[i]: hot and n >= window)
                 yield out.batch(batch.column(1))
 
     def pack(batches):
@@ -246,8 +261,7 @@ def _cut(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
                 out = _Results(keep_text)
                 for i, (packed, copies, starts) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                     b = z.decompress(packed) if packed is not None else None
-                    words = b.split() if b is not None else []
-                    out.add(i, b, words, len(words) >= window if copies is not None else _covered(len(words), starts, window) if starts else False)
+                    out.add(i, b, lambda n, copies=copies, starts=starts: n >= window if copies is not None else _covered(n, starts, window) if starts else False)
                 yield out.batch(batch.column(0))
 
     kinds = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType())]
