@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bpe import bpe_round_trip
 from .common import new_path, table
+from .fill_middle import FILL_MIDDLE_SQL, fill_in_middle, restored
 from .html_extract import html_extract
 from .language_id import language_id
 from .license_scan import license_scan
@@ -87,9 +88,15 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of every document's rearranged and restored text; a null text is empty and plain."""
+    rows = restored(fill_in_middle(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest, op10_license_scan, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_schedule": MIX_SQL}
+    return {"op1_mix_schedule": MIX_SQL, "op13_fill_in_middle": FILL_MIDDLE_SQL}
