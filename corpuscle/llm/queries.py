@@ -17,6 +17,7 @@ from .license_scan import license_scan
 from .mixing import MIX_SQL, mix_schedule
 from .ngram_join import ngram_jaccard_join
 from .quality_rules import BASE, apply_policy, rule_ledger
+from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
 from .token_output import read_tokens, write_tokens
 
@@ -88,6 +89,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the likelier spelling one edit away; null texts have no words."""
+    return spelling_variants(table(spark, sf_dir, "documents"), every=199, least_chars=6, least=5, times=5)
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, cuts and digests of every document's rearranged and restored text; a null text is empty and plain."""
     rows = restored(fill_in_middle(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20))
@@ -95,7 +101,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest, op10_license_scan, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest, op10_license_scan, op12_spelling_variants, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
