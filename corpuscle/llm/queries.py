@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .bpe import bpe_round_trip
-from .common import new_path, table
+from .common import new_path, saved, table
 from .fill_middle import FILL_MIDDLE_SQL, fill_in_middle, restored
 from .html_extract import html_extract
 from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import MIX_SQL, mix_schedule
 from .ngram_join import ngram_jaccard_join
+from .packing import pack, step_groups
 from .quality_rules import BASE, apply_policy, rule_ledger
 from .spelling import spelling_variants
 from .substring_dedup import substring_dedup
@@ -89,6 +90,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in full sequences of at most 2048 ids, with their step; a null text is its end id."""
+    pieces = pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    pieces = saved(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return step_groups(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "context_size", "step")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with the likelier spelling one edit away; null texts have no words."""
     return spelling_variants(table(spark, sf_dir, "documents"), every=199, least_chars=6, least=5, times=5)
@@ -101,7 +109,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest, op10_license_scan, op12_spelling_variants, op13_fill_in_middle)}
+    return {f.__name__: f for f in (op1_mix_schedule, op2_language_id, op3_html_extract, op4_substring_dedup, op5_token_output, op6_bpe_round_trip, op7_ngram_jaccard_join, op8_quality_rules, op9_nearest, op10_license_scan, op11_pack_sequences, op12_spelling_variants, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
