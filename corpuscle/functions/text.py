@@ -25,6 +25,40 @@ def normalize(c) -> Column:
     return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
 
 
+#: White space of any kind but line ends, as in a class of a pattern and as characters.
+BLANKS = r" \t\x0B\f\r\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c) -> Column:
+    """White space of any kind taken off both ends."""
+    return F.btrim(col(c), F.lit(_SPACE))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def clean_ingest(c) -> Column:
+    """Text made fit for parsing: one kind of line end, words joined over a hyphen and line end, hard blanks and tabs plain,
+    no blanks at line ends, at most two blank lines together.  Runs of blanks inside a line become one, but for table
+    rows and what stands between code fences; blanks that set a line in stay.
+    """
+    t = F.regexp_replace(col(c), r"\r\n?", "\n")
+    t = F.when(F.contains(t, F.lit("-\n")), F.regexp_replace(t, r"(?U)(?<=\w)-\n(?=\w)", "")).otherwise(t)
+    t = F.replace(F.replace(t, F.lit("\u00a0"), F.lit(" ")), F.lit("\t"), F.lit("    "))
+    t = F.regexp_replace(t, f"(?<![{BLANKS}])[{BLANKS}]++(?=\n|\\z)", "")
+    fence = f"(?<![^\n])[{BLANKS}]*(?:```|~~~)[^\n]*"
+    lead = f"^[{BLANKS}]*"
+    line = lambda x: F.when(~F.contains(x, F.lit("  ")) | strip(x).rlike(r"^\|.*\|$"), x).otherwise(F.concat(F.regexp_extract(x, lead, 0), F.regexp_replace(F.regexp_replace(x, lead, ""), " {2,}", " ")))
+    plain = lambda p: F.when(F.contains(p, F.lit("  ")), F.array_join(F.transform(F.split(p, "\n"), line), "\n")).otherwise(p)
+    # parts between fences are outside and inside in turn; each fence stands after its part
+    parts = lambda t, fences: F.array_join(F.transform(F.split(t, fence), lambda p, i: F.concat(F.when(i % 2 == 0, plain(p)).otherwise(p), F.coalesce(strip(F.get(fences, i)), F.lit("")))), "")
+    fenced = lambda t: F.when(F.contains(t, F.lit("```")) | F.contains(t, F.lit("~~~")), let(F.regexp_extract_all(t, F.lit(fence), F.lit(0)), lambda f: parts(t, f))).otherwise(plain(t))
+    return strip(F.regexp_replace(let(t, fenced), r"\n{4,}", "\n\n\n"))
+
+
 def snippet(c, size: int = 180) -> Column:
     n = normalize(c)
     return F.when(F.length(n) <= size, n).otherwise(F.concat(F.rtrim(F.left(n, F.lit(size - 3))), F.lit("...")))
