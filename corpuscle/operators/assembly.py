@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from corpuscle.functions.text import anchors, child_key, normalize, snippet, word_pieces
 
-from .chunking import BUDGET, bounded_text, code_units, pack, table_chunks, windows
+from .chunking import BUDGET, bounded_text, code_units, pack, table_chunks
+from .splitter import recursive_split
 
 # Edges along which a parent grows, how many blocks and word pieces it may take, what counts as a symbol.
 PARENT_EDGES = ("has_caption", "caption_of", "references", "referenced_by", "formula_explains", "table_row_context", "continued_from")
@@ -92,11 +93,11 @@ def list_groups(text) -> Column:
 
 
 def splits(budget: int = BUDGET) -> Column:
-    """A block's children: structs of text and strategy.  Tables, lists and code by their parts, else whole or in windows."""
+    """A block's children: structs of text and strategy.  Tables, lists and code by their parts, else whole or by falling separators."""
     whole = F.array(F.struct(F.col("text").alias("text"), F.lit("single_block").alias("strategy")))
     named = lambda texts, name: F.transform(texts, lambda x: F.struct(x.alias("text"), F.lit(name).alias("strategy")))
     parts = lambda packed: F.transform(packed, lambda x: x["text"])
-    rest = F.when(word_pieces("text") <= budget, whole).otherwise(named(windows("text", budget), "fallback"))
+    rest = F.when(word_pieces("text") <= budget, whole).otherwise(named(recursive_split("text", budget), "fallback"))
     kind = F.col("block_type")
     rows, items, units = parts(table_chunks("text", budget)), parts(pack(list_groups("text"), budget)), code_units("text")
     return (

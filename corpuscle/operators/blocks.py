@@ -51,8 +51,8 @@ def typed_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "i", "line", F.when(plain & (above == "list"), "list").otherwise(F.col("kind")).alias("type"), (F.col("before") % 2 == 1).alias("open"))
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, block_order, block_type, text, heading_level, section_path."""
+def islands(docs: DataFrame) -> DataFrame:
+    """doc_id, block_order, block_type, text, heading_level: lines that belong together."""
     ordered = Window.partitionBy("doc_id").orderBy("i")
     rows = typed_lines(docs)
     before = F.lag("type").over(ordered)
@@ -61,17 +61,32 @@ def blocks(docs: DataFrame) -> DataFrame:
     found = rows.groupBy("doc_id", (F.col("block") - 1).cast("int").alias("block_order")).agg(F.first("type").alias("block_type"), F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
     text = F.trim(F.array_join(F.transform("l", lambda x: x.line), "\n"))
     heading = F.col("block_type") == "section_header"
-    found = found.select("doc_id", "block_order", "block_type", F.when(heading, F.regexp_extract(text, HEADING, 2)).otherwise(text).alias("text"), F.when(heading, F.length(F.regexp_extract(text, HEADING, 1))).alias("heading_level"))
-    paths = section_paths(found)
-    number = F.sum(heading.cast("int")).over(Window.partitionBy("doc_id").orderBy("block_order"))
-    return found.withColumn("n", number).join(paths, ["doc_id", "n"], "left").select("doc_id", "block_order", "block_type", "text", "heading_level", F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"))
+    return found.select("doc_id", "block_order", "block_type", F.when(heading, F.regexp_extract(text, HEADING, 2)).otherwise(text).alias("text"), F.when(heading, F.length(F.regexp_extract(text, HEADING, 1))).alias("heading_level"))
+
+
+def with_paths(found: DataFrame) -> DataFrame:
+    """Blocks with section_path, the headings in force at each; a document's `title`, where it has one, stands on top until a first-level heading."""
+    number = F.sum((F.col("block_type") == "section_header").cast("int")).over(Window.partitionBy("doc_id").orderBy("block_order"))
+    path = F.coalesce("section_path", root(found), F.array().cast("array<string>"))
+    names = [c for c in found.columns if c != "section_path"]
+    return found.withColumn("n", number).join(section_paths(found), ["doc_id", "n"], "left").select(*names, path.alias("section_path"))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """doc_id, block_order, block_type, text, heading_level, section_path."""
+    return with_paths(islands(docs))
+
+
+def root(found: DataFrame) -> Column:
+    return F.array_compact(F.array(F.nullif("title", F.lit("")))) if "title" in found.columns else F.array().cast("array<string>")
 
 
 def section_paths(found: DataFrame) -> DataFrame:
     """doc_id, n, section_path after the n-th heading: level 1 starts anew, others keep the first level - 1 titles."""
-    heads = found.where("block_type = 'section_header'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_order", "heading_level", "text"))).alias("h"))
+    found = found.select("doc_id", "block_order", "block_type", "heading_level", "text", root(found).alias("root"))
+    heads = found.where("block_type = 'section_header'").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_order", "heading_level", "text"))).alias("h"), F.min("root").alias("root"))
     start = F.array().cast("array<array<string>>")
-    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.array().cast("array<string>"))
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1)), F.col("root"))
     fold = F.aggregate("h", start, lambda a, x: F.concat(a, F.array(F.when(x.heading_level <= 1, F.array(x.text)).otherwise(F.concat(F.slice(last(a), 1, F.least(x.heading_level - 1, F.size(last(a)))), F.array(x.text))))))
     return heads.select("doc_id", F.posexplode(fold).alias("n", "section_path")).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), "section_path")
 

@@ -36,8 +36,13 @@ _SYMBOLS = "array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\
 CLAUSE_SQL = "nullif(regexp_extract({0}, '([0-9]+(?:\\.[0-9]+){{1,3}})', 1), '')"
 TERMS_SQL = "list_distinct(regexp_extract_all({0}, '(?i)[0-9]+(?:\\.[0-9]+)?(?:%|MPa)'))"
 CHUNK_SQL = f"""{PARENT_SQL}, cap AS (SELECT ct.doc_id, ct.target AS block_order, arg_max(c.text, ct.block_order) AS caption_text FROM ct JOIN tb c ON c.doc_id = ct.doc_id AND c.block_order = ct.block_order GROUP BY 1, 2),
-wd AS (SELECT pa.*, caption_text, 'Doc ' || pa.doc_id AS title, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM pa LEFT JOIN cap ON cap.doc_id = pa.doc_id AND cap.block_order = pa.block_order),
-cw AS (SELECT *, CASE WHEN block_type = 'list' OR greatest(1, {WP.format('text')}) <= 220 THEN [text] ELSE list_transform(range(greatest(1, CAST(ceil((len(w) - 40) / 180.0) AS BIGINT))), lambda i: array_to_string(w[i * 180 + 1 : i * 180 + 220], ' ')) END AS kids FROM wd),
+wd AS (SELECT pa.*, caption_text, 'Doc ' || pa.doc_id AS title, block_type <> 'list' AND {WP.format('text')} > 220 AS long FROM pa LEFT JOIN cap ON cap.doc_id = pa.doc_id AND cap.block_order = pa.block_order),
+lw AS (SELECT *, list_transform(parts, lambda p: greatest(1, {WP.format('p')})) AS sz FROM (SELECT doc_id, block_order, list_filter(list_transform(string_split(text, ' '), lambda p, i: CASE WHEN i > 1 THEN ' ' || p ELSE p END), lambda p: p <> '') AS parts FROM wd WHERE long)),
+lc AS (SELECT *, len(parts) AS n, list_transform(range(len(sz) + 1), lambda i: coalesce(list_sum(sz[1 : i]), 0)) AS c FROM lw),
+ck AS (SELECT *, 0 AS j, CAST(1 AS BIGINT) AS f, list_max(list_filter(range(1, n + 1), lambda e: c[e + 1] - c[1] + e - 1 <= 220)) AS e FROM lc
+  UNION ALL SELECT doc_id, block_order, parts, sz, n, c, j, f, list_max(list_filter(range(f, n + 1), lambda x: c[x + 1] - c[f] + x - f <= 220)) FROM (SELECT doc_id, block_order, parts, sz, n, c, j + 1 AS j, list_min(list_filter(range(f, e + 2), lambda s: s > e OR (c[e + 1] - c[s] + e - s <= 40 AND c[e + 1] - c[s] + e - s + sz[e + 1] + 1 <= 220))) AS f FROM ck WHERE e < n)),
+kd AS (SELECT doc_id, block_order, list(trim(array_to_string(parts[f : e], '')) ORDER BY j) FILTER (trim(array_to_string(parts[f : e], '')) <> '') AS k FROM ck GROUP BY 1, 2),
+cw AS (SELECT wd.*, CASE WHEN long THEN kd.k ELSE [text] END AS kids FROM wd LEFT JOIN kd ON kd.doc_id = wd.doc_id AND kd.block_order = wd.block_order),
 ch AS (SELECT *, CAST(unnest(range(len(kids))) AS INT) AS child_index, unnest(kids) AS child_text, CAST(len(kids) AS INT) AS child_count FROM cw),
 an AS (SELECT *, coalesce({CLAUSE_SQL.format('child_text')}, {CLAUSE_SQL.format('text')}, {CLAUSE_SQL.format('content')}) AS clause_id, CASE WHEN len({TERMS_SQL.format('child_text')}) > 0 THEN regexp_extract_all(child_text, '(?i)[0-9]+(?:\\.[0-9]+)?(?:%|MPa)') WHEN len({TERMS_SQL.format('text')}) > 0 THEN regexp_extract_all(text, '(?i)[0-9]+(?:\\.[0-9]+)?(?:%|MPa)') ELSE regexp_extract_all(content, '(?i)[0-9]+(?:\\.[0-9]+)?(?:%|MPa)') END AS terms FROM ch),
 pt AS (SELECT *, list_filter(CASE WHEN block_type = 'table' THEN CASE WHEN caption_text IS NOT NULL THEN [{_TOP}, {_line('Caption', 'caption_text')}] ELSE [] END WHEN block_type = 'image' THEN [{_TOP}, {_line('Caption', 'caption_text')}, {_CONTEXT}]
@@ -58,7 +63,7 @@ def parent_assembly(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {CHUNK_SQL} SELECT doc_id, block_order, child_index, child_count, 'chunk-' || left(sha1(doc_id || ':' || block_id || ':' || parent_id || ':' || child_index || ':' || left(sha1(child_text), 12)), 20) AS chunk_id, parent_id, clause_id,
+    f"""WITH RECURSIVE {CHUNK_SQL} SELECT doc_id, block_order, child_index, child_count, 'chunk-' || left(sha1(doc_id || ':' || block_id || ':' || parent_id || ':' || child_index || ':' || left(sha1(child_text), 12)), 20) AS chunk_id, parent_id, clause_id,
     array_to_string(list_append(k.l, child_text), chr(10)) AS retrieval_text, CASE WHEN len(k.l) = 0 THEN 'original' WHEN block_type IN ('table', 'image', 'formula') THEN block_type || '_enhanced' ELSE 'regulation_enhanced' END AS retrieval_strategy FROM rt"""
 )
 def chunk_documents(t: Tables) -> DataFrame:

@@ -23,12 +23,6 @@ def repeated_lines(t: Tables) -> DataFrame:
     return blocks.repeated_lines(t.documents)
 
 
-@query()
-def line_blocks(t: Tables) -> DataFrame:
-    found = blocks.blocks(t.documents.select("doc_id", "text"))
-    return found.select("doc_id", "block_order", "block_type", "text", F.array_join("section_path", " > ").alias("section_path"))
-
-
 @query(
     f"""SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(n AS INT) AS chunk_count, array_to_string(w[i * 180 + 1 : i * 180 + 220], ' ') AS text FROM
     (SELECT doc_id, w, n, unnest(range(n)) AS i FROM (SELECT doc_id, w, greatest(1, CAST(ceil((len(w) - 40) / 180.0) AS BIGINT)) AS n FROM {WORDS} WHERE len(w) > 0))"""

@@ -40,18 +40,19 @@ def web_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.expr("parse_url(url, 'HOST')").alias("source_name"), F.lit("web").alias("source_type"), F.col("html").alias("content"))
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that all executors share, read back, so that what follows starts from its files.
-
-    The folder is that of spark.checkpoint.dir; where it is unset, a local one under a local master only.
-    """
-    spark = df.sparkSession
+def work_root(spark: SparkSession) -> str:
+    """The folder that all executors share, as spark.checkpoint.dir names it; where that is unset, a local one under a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back, so that what follows starts from its files."""
+    path = f"{work_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

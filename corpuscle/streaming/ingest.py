@@ -2,28 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from corpuscle.sources import store as buckets
+
+SCHEMA = "doc_id long, text string, mark string"
+
 
 def ingest(spark: SparkSession, source: str, store: str, checkpoint: str) -> StreamingQuery:
-    """Parquet files of doc_id, text under source; the store gets a row for each new (doc_id, fingerprint).
+    """Parquet files of doc_id, text under source; a document's new text takes the place of the one in the store.
 
-    A batch that is run again finds its rows there and writes nothing, so files are safe to repeat.
+    A document whose fingerprint is in the store already is left alone, so files are safe to repeat and a batch that is run
+    again writes nothing.  A batch reads and writes only the buckets of its own documents.  Of several texts of a document
+    in one batch the one with the largest fingerprint stays.
     """
     stream = spark.readStream.schema("doc_id long, text string").parquet(source)
     marked = stream.withColumn("mark", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["doc_id", "mark"])
-        try:
-            known = batch.sparkSession.read.schema(new.schema).parquet(store).select("doc_id", "mark")
-            new = new.join(known, ["doc_id", "mark"], "left_anti")
-            new.write.mode("append").parquet(store)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            new.write.mode("append").parquet(store)
+        order = Window.partitionBy("doc_id").orderBy(F.col("mark").desc())
+        new = batch.where("doc_id is not null").withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+        known = buckets.read(batch.sparkSession, store, SCHEMA, buckets.touched(new)).select("doc_id", "mark")
+        buckets.replace_documents(store, new.join(known, ["doc_id", "mark"], "left_anti").select("doc_id", "text", "mark"))
 
     return marked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
