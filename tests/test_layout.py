@@ -41,14 +41,14 @@ def test_layout_blocks(spark):
         (1, 1, 0, "heading", "# Guide", 80.0, 60.0, 1000.0, None, "Root"), (1, 1, 2, "caption", "Equation 1. Energy formula", 90.0, 120.0, 1000.0, None, "Root"), (1, 1, 1, "formula", "$$ E = mc^2 $$", 90.0, 160.0, 1000.0, None, "Root"),
         (1, 1, 3, "paragraph", "Equation 1 explains the energy model.", 90.0, 240.0, 1000.0, None, "Root"), (1, 2, 0, "Title", "Deeper", 0.0, 5.0, 1000.0, 3, "Root"), (1, 2, 1, None, "![a cat](cat.png \"Tom\")", 0.0, 50.0, 1000.0, None, "Root"),
         (1, 2, 2, "table", "| a | b |\n|---|---|\n| 1 | 2 |", 0.0, 90.0, 1000.0, None, "Root"), (1, 2, 3, "table", "| x | y |\n| 3 |  |", 0.0, 130.0, 1000.0, None, "Root"), (1, 2, 4, "bul-let", "odd kind", 0.0, 170.0, 1000.0, None, "Root"),
-        (1, 2, 5, "code", "x = 1 + 2", 0.0, 210.0, 1000.0, None, "Root"), (1, 2, 6, "list", "- one\n- two", 0.0, 250.0, 1000.0, None, "Root"), (1, 2, 7, "text", "  ", 0.0, 290.0, 1000.0, None, "Root"), (1, 2, 8, "text", None, 0.0, 290.0, 1000.0, None, "Root"),
+        (1, 2, 5, "code", "x = 1 + 2", 0.0, 210.0, 1000.0, None, "Root"), (1, 2, 6, "list", "- one thing\n- two things", 0.0, 250.0, 1000.0, None, "Root"), (1, 2, 7, "text", "  ", 0.0, 290.0, 1000.0, None, "Root"), (1, 2, 8, "text", None, 0.0, 290.0, 1000.0, None, "Root"),
         (2, 1, 0, "text", "<img alt=\"dog\" src='d.png'>", 0.0, 0.0, None, None, None), (2, 1, 1, "image", "<img alt=\"dog\" src='d.png'/>", 0.0, 20.0, None, None, None), (2, 1, 2, "header", "Deep start", 0.0, 40.0, None, 2, None),
     ]
     found = layout.layout_blocks(spark.createDataFrame(rows, ITEM)).orderBy("doc_id", "block_order").collect()
     assert [(r.block_type, r.text, r.section_path) for r in found if r.doc_id == 1] == [
         ("section_header", "Guide", ["Guide"]), ("caption", "Equation 1. Energy formula", ["Guide"]), ("formula", "$$ E = mc^2 $$", ["Guide"]), ("paragraph", "Equation 1 explains the energy model.", ["Guide"]),
         ("section_header", "Deeper", ["Guide", "Deeper"]), ("image", "Image block\nAlt: a cat\nSource: cat.png\nTitle: Tom", ["Guide", "Deeper"]), ("table", "Table columns: a, b\nRow 1: a=1; b=2", ["Guide", "Deeper"]),
-        ("table", "Table columns: column_1, column_2\nRow 1: column_1=x; column_2=y\nRow 2: column_1=3", ["Guide", "Deeper"]), ("paragraph", "odd kind", ["Guide", "Deeper"]), ("formula", "x = 1 + 2", ["Guide", "Deeper"]), ("list", "- one\n- two", ["Guide", "Deeper"]),
+        ("table", "Table columns: column_1, column_2\nRow 1: column_1=x; column_2=y\nRow 2: column_1=3", ["Guide", "Deeper"]), ("paragraph", "odd kind", ["Guide", "Deeper"]), ("formula", "x = 1 + 2", ["Guide", "Deeper"]), ("list", "- one thing\n- two things", ["Guide", "Deeper"]),
     ]
     assert [(r.block_type, r.text, r.section_path) for r in found if r.doc_id == 2] == [("paragraph", "<img alt=\"dog\" src='d.png'>", []), ("image", "Image block\nAlt: dog\nSource: d.png", []), ("section_header", "Deep start", ["Deep start"])]
     # the graph reads them: the caption's formula is explained by the paragraph
