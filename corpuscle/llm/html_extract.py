@@ -7,8 +7,8 @@ template.  Merging is associative and commutative, so tasks merge their own page
 shuffled.  Every page is then read through its layout's wrapper, or through its own where no other page shares the layout.
 
 The wrapper says which parts hold the article: the parts named `article` or `main`, or else the part with most of the
-text, less those that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their name, mostly
-links, or template text.  Text is template if all pages of the layout have it and the layout has at least three different
+text, less those that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their name, or template
+text, or, outside articles, lists and boxes that are mostly links.  Text is template if all pages of the layout have it and the layout has at least three different
 contents, and it stands outside articles and isn't prose (a paragraph, list item, heading, cell); copies of one article are one
 content.  A name is one of those words only as a whole: `cookie-notice` is a notice, `notice-of-law` isn't.
 
@@ -27,6 +27,7 @@ import json
 import operator
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,11 +43,13 @@ CONTENTS = 3
 #: Bytes of wrappers that go to the tasks as one broadcast; beyond, pages are joined to them.
 BROADCAST_BYTES = 32 << 20
 SALT = 16
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 1 << 20))  # trees are as deep as pages nest elements
+#: Elements below one another that a page's tree has at most.
+DEEP = 2000
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * DEEP))  # a walk takes a few frames a level
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*(?>\"[^\"]*\"|'[^']*')|[^>])*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_RAW = frozenset("script style textarea title noscript template iframe svg math select option object canvas xmp noembed noframes".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg select option object canvas xmp noembed noframes".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head button label".split())
 _VOID = frozenset("hr".split())
 #: What a new element of the key closes when it is open in the same scope.
@@ -89,14 +92,38 @@ class Node:
 
 
 def parse(page: str) -> Node:
-    """Block elements as a tree; inline elements leave only their text; (text, in a link) between."""
+    """Block elements as a tree; inline elements leave only their text; (text, in a link) between.
+
+    Elements more than DEEP below one another are no nodes: they part the text of the one that is, and those that go by
+    their names hide theirs.  Each tag is looked at once, and end tags of elements that aren't open are passed over.
+    """
     root = Node("html")
-    stack, at, link = [root], 0, 0
+    # tag, the node that takes its text, whether it hides its text
+    stack: list[tuple[str, Node, bool]] = [("html", root, False)]
+    count: Counter[str] = Counter()
+    at = link = hidden = 0
     low = None
 
     def text(t: str):
-        if t:
-            stack[-1].kids.append((t, link > 0))
+        if t and not hidden:
+            stack[-1][1].kids.append((t, link > 0))
+
+    def close(i: int):
+        nonlocal hidden
+        for tag, _, hides in stack[i:]:
+            count[tag] -= 1
+            hidden -= hides
+        del stack[i:]
+
+    def below(tags, until=()) -> int:
+        """The innermost open element of the tags, 0 if there is none or one of `until` is met first."""
+        if any(count[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in tags:
+                    return i
+                if stack[i][0] in until:
+                    return 0
+        return 0
 
     while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
@@ -116,26 +143,25 @@ def parse(page: str) -> Node:
         elif tag not in _BLOCK or tag in ("html", "body") and not m[1] and tag == "html":
             continue
         elif m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    link = 0
-                    break
+            if i := below((tag,)):
+                close(i)
+                link = 0
         else:
-            if stack[-1].tag == "p" or stack[-1].tag in _HEADING and tag in _HEADING:
-                stack.pop()
-            if tag in _CLOSES:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in _CLOSES[tag]:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _SCOPE:
-                        break
+            top = stack[-1][0]
+            if len(stack) > 1 and (top == "p" or top in _HEADING and tag in _HEADING):
+                close(len(stack) - 1)
+            if tag in _CLOSES and (i := below(_CLOSES[tag], _SCOPE)):
+                close(i)
             link = 0
             node = Node(tag, m[3])
-            stack[-1].kids.append(node)
+            deep, around = len(stack) > DEEP, stack[-1][1]
+            hides = deep and named_out(tag, node.names, count["article"] + count["main"] > 0)
+            if not hidden:
+                around.kids.append(Node(tag) if deep else node)
             if tag not in _VOID:
-                stack.append(node)
+                stack.append((tag, around if deep else node, hides))
+                count[tag] += 1
+                hidden += hides
                 root.depth = max(root.depth, len(stack))
     text(page[at:])
     return root
@@ -237,16 +263,21 @@ def named_out(tag: str, names, inside: bool = False) -> bool:
 def _judge(w: dict, contents: list[int]) -> dict:
     pages, several = w["seen"], len(contents) >= CONTENTS
 
-    def drop(n: dict, inside: bool = False):
+    def drop(n: dict, inside: bool = False) -> bool:
+        """Judges n and what is below it; whether there is an article."""
         fixed = several and n["own"] and not n["kids"] and n["seen"] == pages and not n["many"] and n["tag"] not in _PROSE and not inside
-        linky = n["chars"] >= 20 and n["links"] > 0.5 * n["chars"]
-        n["drop"] = named_out(n["tag"], n["names"], inside) or bool(fixed) or linky
+        article = n["tag"] in ("article", "main") or "main" in n["names"]
         n["net"] = n["chars"]  # text that stays
+        held = article
         for k in n["kids"].values():
-            drop(k, inside or n["tag"] in ("article", "main"))
+            held |= drop(k, inside or article)
             n["net"] -= k["chars"] - k["net"]
+        # inside and around an article links are text like any other; elsewhere, in the part chosen below as well, a menu is mostly links
+        linky = not inside and not held and n["tag"] not in ("html", "body", *_PROSE) and n["chars"] >= 20 and n["links"] > 0.5 * n["chars"]
+        n["drop"] = named_out(n["tag"], n["names"], inside) or bool(fixed) or linky
         if n["drop"]:
             n["net"] = 0
+        return held
 
     size = operator.itemgetter("net")
     drop(w)

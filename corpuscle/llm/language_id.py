@@ -2,8 +2,8 @@
 
 The network reads windows of WINDOW bytes of the text (runs of ASCII blanks, digits and punctuation become one blank), forwards and
 backwards, and labels every position; a document's probabilities are the mean over all its positions.  Training is
-backpropagation through time in numpy on the driver, over a bounded sample: at most `per_language` documents of each
-language, chosen by a hash, and PIECES pieces of each, spread over the whole text.  Prediction reads every byte.
+backpropagation through time in numpy on the driver, over a bounded sample: at most `per_language` different texts of each
+of at most LANGUAGES languages, chosen by a hash, and PIECES pieces of each, spread over the whole text.  Prediction reads every byte.
 
 Nulls: a null text, or one without a letter, is `und` with score 0.  Rows with null lang are never learned from; without any
 labelled row every prediction is `und`.  Rows repeat freely.  Other columns are ignored.
@@ -26,6 +26,8 @@ from .common import texts, tidy
 WINDOW = 96
 HIDDEN = 6
 PIECES = 6
+#: Labels that are learned, those with the most different texts: a bound for tables whose labels are no languages.
+LANGUAGES = 1000
 _FILL = re.compile(rb"[\x00-@\[-`{-\x7f]+")
 _LETTER = regex.compile(r"\p{L}")
 
@@ -149,9 +151,10 @@ def sample(labelled: DataFrame, per_language: int) -> tuple[list[np.ndarray], li
     pieces = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: F.col("b").substr((n * i / F.lit(max(1, PIECES - 1))).cast("int") + 1, F.lit(4 * WINDOW)))
     order = Window.partitionBy("lang").orderBy("h")
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    # of each language the share of hashes that holds about four times the sample: few rows reach the window, however many parts
-    sizes = {r.lang: r.c for r in labelled.groupBy("lang").agg(F.count("*").alias("c")).collect()}  # one row a language
-    shares = [x for lang, c in sizes.items() for x in (F.lit(lang), F.lit(int(min(1.0, 4 * per_language / c) * 2**62)))]
+    # of each language the share of different texts that holds about eight times the sample: few rows reach the window, however
+    # many parts.  Copies share their hash, so different hashes are counted, not rows
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("c")).orderBy(F.col("c").desc(), "lang").limit(LANGUAGES).collect()
+    shares = [x for r in sizes for x in (F.lit(r.lang), F.lit(int(min(1.0, 8 * per_language / max(r.c, 1)) * 2**62)))]
     rows = (
         labelled.where(F.col("h").bitwiseAND(F.lit(2**62 - 1)) <= F.create_map(*shares)[F.col("lang")] if shares else F.lit(False))
         .select("lang", "h", F.col("text").cast("binary").alias("b"), "text")

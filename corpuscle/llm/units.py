@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 from .common import mix64
-from .words import _BYTE, _DOWN, _SPACE, _UP, STEP, _offsets, _one, ranges
+from .words import _BYTE, _DOWN, _SPACE, _UP, LONG, STEP, _offsets, _one, hash_long, ranges
 
 #: Units whose ids a task keeps.
 KEPT = 1 << 20
@@ -70,7 +70,8 @@ class Units:
             s, e = starts[i:j] - at, ends[i:j] - at
             h[i:j] = (sums[np.minimum(e, len(part))] - sums[s]) * _DOWN[s]
             if j > i and e[-1] > len(part):
-                h[j - 1] = _one(_BYTE[b[starts[j - 1] : ends[j - 1]]])
+                h[j - 1] = _one(_BYTE[b[starts[j - 1] : min(ends[j - 1], starts[j - 1] + LONG)]])
+        hash_long(h, b, starts, ends)
         self.hashes = mix64(h + (ends - starts).astype(np.uint64))
         self.hashes[self.hashes == 0] = 1
 

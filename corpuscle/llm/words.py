@@ -1,7 +1,8 @@
 """Words of whole batches of texts as arrays: hashes, places and n-gram hashes, without a Python object for each word.
 
 Words are runs of bytes other than ASCII white space.  A word's hash is a polynomial over a table of 64-bit numbers by
-byte, modulo 2**64, taken from running sums over the batch and finished by mix64.
+byte, modulo 2**64, taken from running sums over the batch and finished by mix64.  Such a polynomial tells words of up to
+LONG bytes apart as 64 bits can; longer ones, among which there are pairs that agree for every base, are hashed one by one.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import mix64
 
-#: Bytes of text hashed at a time.
-STEP = 1 << 18
+#: Bytes of text hashed at a time; bytes of the longest word that goes by its polynomial.
+STEP, LONG = 1 << 18, 64
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
@@ -94,17 +96,21 @@ def words_of(column: pa.Array, lower: bool = False) -> Words:
         inside = e <= len(part)
         h[i:j] = (sums[np.minimum(e, len(part))] - sums[s]) * _DOWN[s]
         if not inside.all():  # the last word goes on
-            h[j - 1] = _one(table[b[starts[j - 1] : ends[j - 1]]])
+            h[j - 1] = _one(table[b[starts[j - 1] : min(ends[j - 1], starts[j - 1] + LONG)]])
+    hash_long(h, b, starts, ends, lower)
     return Words(mix64(h + (ends - starts).astype(np.uint64)), np.searchsorted(starts, offsets - base))
 
 
 def _one(values: np.ndarray) -> np.uint64:
-    total, up = 0, 1
-    for at in range(0, len(values), STEP):
-        part = values[at : at + STEP]
-        total += int((part * _UP[: len(part)]).sum(dtype=np.uint64)) * up
-        up = up * pow(_BASE, len(part), 1 << 64) % (1 << 64)
-    return _U(total % (1 << 64))
+    """The polynomial of at most STEP bytes."""
+    return (values * _UP[: len(values)]).sum(dtype=np.uint64)
+
+
+def hash_long(h: np.ndarray, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> None:
+    """Puts the hashes of words beyond LONG bytes in h."""
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        word = b[starts[i] : ends[i]].tobytes()
+        h[i] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
 
 
 _MULT = _U(0x9E3779B97F4A7C15)
