@@ -90,11 +90,13 @@ def _grams(run: Column) -> Column:
 def search_tokens(c) -> Column:
     """Distinct search tokens: clause id, table ids, then words in lower case and ideograph grams, in order of appearance."""
     t = col(c)
-    clause, table = F.regexp_extract(t, CLAUSE, 1), F.regexp_extract(t, TABLE, 1)
+    clause, table = F.regexp_extract(t, CLAUSE, 1), F.when(F.contains(t, F.lit("表")), F.regexp_extract(t, TABLE, 1)).otherwise("")
     none = F.array().cast("array<string>")
     first = F.concat(F.when(clause != "", F.array(clause)).otherwise(none), F.when(table != "", F.array(table, F.concat(F.lit("表"), table))).otherwise(none))
-    runs = F.transform(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(1)), lambda r: F.when(r.rlike(r"^[一-鿿]"), _grams(r)).otherwise(F.array(F.lower(r))))
-    return F.coalesce(F.array_distinct(F.concat(first, F.flatten(runs))), none)
+    runs = F.regexp_extract_all(t, F.lit(TOKEN), F.lit(1))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(r"^[一-鿿]"), _grams(r)).otherwise(F.array(F.lower(r)))))
+    words = F.when(t.rlike("[一-鿿]"), mixed).otherwise(F.transform(runs, F.lower))
+    return F.coalesce(F.array_distinct(F.concat(first, words)), none)
 
 
 def anchors(c) -> Column:
