@@ -114,7 +114,11 @@ def _answers(t: Tables) -> DataFrame:
     return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" [1] [7]  [2]")).alias("answer"))
 
 
-@query(f"WITH {ANSWER} SELECT conv_id, turn, trim(regexp_replace(replace(answer, '[7]', ''), ' {{2,}}', ' ', 'g')) AS answer FROM x WHERE NOT regexp_matches(replace(replace(replace(answer, '[1]', ''), '[2]', ''), '[7]', ''), '\\[[0-9]+\\]')")
+#: Citations of an answer that aren't among the first n.
+WRONG = "list_filter(list_distinct(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1)), lambda x: CAST(x AS HUGEINT) < 1 OR CAST(x AS HUGEINT) > {0})"
+
+
+@query(f"WITH {ANSWER} SELECT conv_id, turn, trim(regexp_replace(list_reduce({WRONG.format(3)}, lambda a, x: replace(a, '[' || x || ']', ''), answer), ' {{2,}}', ' ', 'g')) AS answer FROM x")
 def citation_sanitize(t: Tables) -> DataFrame:
     return _answers(t).select("conv_id", "turn", tx.sanitize_citations("answer", F.lit(3)).alias("answer"))
 
@@ -134,7 +138,7 @@ def stream_slices(t: Tables) -> DataFrame:
     return _answers(t).select("conv_id", "turn", F.posexplode(tx.slices("answer")).alias("slice_index", "slice"))
 
 
-@query(f"WITH {ANSWER} SELECT conv_id, turn, CASE WHEN (turn % 2 = 0 AND true) THEN 0.0 ELSE 1.0 END::DOUBLE AS correct FROM x WHERE NOT regexp_matches(replace(replace(replace(answer, '[1]', ''), '[2]', ''), '[7]', ''), '\\[[0-9]+\\]')")
+@query(f"WITH {ANSWER} SELECT conv_id, turn, CASE WHEN len(CASE WHEN turn % 2 = 0 THEN {WRONG.format(3)} ELSE {WRONG.format(7)} END) > 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS correct FROM x")
 def citation_correctness(t: Tables) -> DataFrame:
     n = F.when(F.col("turn") % 2 == 0, 3).otherwise(7)
     return _answers(t).select("conv_id", "turn", evaluate.citation_correctness("answer", n).alias("correct"))
