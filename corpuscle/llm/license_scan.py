@@ -1,10 +1,12 @@
 """License notices in documents by conditional compression.
 
-Windows of words around each mention of a license, a copyright or permission are candidates: they go half a template's
-length at a time over sentence and line ends and start before the mention as well.  Where a window has enough of a
-template's words, they are aligned; the wording alone confirms a notice: all differences are listed, and a difference in
-a name, number or version refutes it.  A confirmed notice, from its first word to its last, is compressed alone and with
-the template as a zstandard raw dictionary; of notices that overlap the one that saves most bytes stays.
+Candidate blocks are windows of words around each mention of a license, a copyright or permission, in five widths; they
+overlap by half, go over sentence and line ends and start before the mention as well.  Every block is compressed alone
+and with each template as a zstandard raw dictionary, and templates are ranked by the bytes they save.  A template wins
+a block if it saves at least MIN_GAIN of what it saves on its own wording.  Winners are aligned with the block in that
+order and confirmed by exact wording: all differences are listed, and a difference in a name, number or version refutes.
+A confirmed notice, from its first word to its last, is compressed once more by itself; of notices that overlap the one
+that saves most bytes, less the bytes of names that differ, stays.  A notice that holds none of those mentions (_TRIGGER) isn't looked for.
 
 Whole texts are read; a document may have any number of findings.  Nulls: a null text has none.  Rows repeat freely.
 Other columns are ignored.
@@ -51,15 +53,18 @@ _WORD = re.compile(r"[\w.+-]*\w")
 #: Words that may differ without changing what is granted.
 _SOFT = frozenset("a an the this that is are of to in by or and under released licensed license work works file software program it may be with see you".split())
 MIN_RATIO = 0.8
-#: Offsets between template and window that are tried, those with most equal words first.
-OFFSETS = 4
+#: Share of the bytes saved on a template's own wording that a block must save.
+MIN_GAIN = 0.25
+#: Words of the longest template of each width of blocks.
+WIDTHS = (8, 16, 32, 64, 128)
 RESULT = "license string, start int, length int, reduction double, ratio double, missing array<string>, added array<string>"
 
 
 @functools.cache
 def _compressors() -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompressor]]:
+    """A plain compressor and one for the words of each template."""
     plain = {"level": 12, "write_content_size": False, "write_checksum": False}
-    return zstandard.ZstdCompressor(**plain), [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain) for _, t in TEMPLATES]
+    return zstandard.ZstdCompressor(**plain), [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(" ".join(a).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), **plain) for a, _ in _templates()]
 
 
 def _words(text: str) -> list[str]:
@@ -93,29 +98,63 @@ def confirm(a: list[str], b: list[str]) -> tuple[float, list[str], list[str], in
     return ratio, missing, added, steps[inner[0]][3], steps[inner[-1]][4] - 1
 
 
-def _notices(words: list[str], near: list[int], a: list[str], count: Counter):
-    """Confirmed places of one template in the words of a text, near: the triggers among them."""
-    n, need = len(a), math.ceil(MIN_RATIO * len(a))
-    half, slack = -(-n // 2), max(2, n // 5)
-    tried: set[int] = set()
-    for g in sorted({g for i in near for g in range(max(0, (i - n - half - slack) // half), i // half + 1)}):
-        at = g * half
-        window = words[at : at + n + half + slack]
-        have = Counter(window)
-        if sum(min(c, have[w]) for w, c in count.items()) < need:
+@functools.cache
+def _own_gains() -> list[int]:
+    """Bytes that each template saves on its own wording."""
+    plain, primed = _compressors()
+    own = [" ".join(a).encode() for a, _ in _templates()]
+    return [len(plain.compress(t)) - len(c.compress(t)) for t, c in zip(own, primed, strict=True)]
+
+
+def ranked(block: list[str]) -> list[tuple[int, int]]:
+    """(bytes saved, number of the template) of a block of words, most first."""
+    plain, primed = _compressors()
+    data = " ".join(block).encode("utf-8", "surrogatepass")
+    alone = len(plain.compress(data))
+    return sorted(((alone - len(c.compress(data)), k) for k, c in enumerate(primed)), key=lambda r: (-r[0], r[1]))
+
+
+def _blocks(near: list[int]):
+    """(first place, one past the last, width) of the candidate blocks that hold one of the places near."""
+    for c in WIDTHS:
+        size = 2 * c + max(2, c // 5)
+        for g in sorted({g for i in near for g in range(max(0, (i - size) // c + 1), i // c + 1)}):
+            yield g * c, g * c + size, c
+
+
+def _aligned(words: list[str], at: int, to: int, k: int, tried: set[tuple[int, int]]):
+    """Confirmed places of template k in a block: (template, first place, last place, proof)."""
+    a, count = _templates()[k]
+    slack = max(2, len(a) // 5)
+    window = words[at:to]
+    offsets = Counter(at + q - p for q, w in enumerate(window) if w in count for p, x in enumerate(a) if x == w)
+    # a notice has at most that many words missing or put between, so some offset has its share of equal words
+    need = max(1, math.ceil(MIN_RATIO * len(a)) // (slack + 1))
+    for start, _ in sorted(((o, n) for o, n in offsets.items() if n >= need), key=lambda o: (-o[1], o[0])):
+        if (k, start) in tried:
             continue
-        offsets = Counter(at + q - p for q, w in enumerate(window) if w in count for p, x in enumerate(a) if x == w)
-        for start, _ in sorted(offsets.items(), key=lambda o: (-o[1], o[0]))[:OFFSETS]:
-            if start in tried:
+        tried.add((k, start))
+        for more in (0, slack):  # a notice with words put between is longer than its template
+            low = max(0, start - more)
+            part = words[low : max(0, start + len(a) + more)]
+            if (Counter(part) & count).total() < MIN_RATIO * len(a):
                 continue
-            tried.add(start)
-            for more in (0, slack):  # a notice with words put between is longer than its template
-                low = max(0, start - more)
-                if sure := confirm(a, words[low : max(0, start + n + more)]):
-                    yield low + sure[3], low + sure[4], sure[:3]
+            if sure := confirm(a, part):
+                yield k, low + sure[3], low + sure[4], sure[:3]
+                if sure[0] == 1 and not sure[2]:
                     break
 
 
+def _notices(words: list[str], near: list[int]):
+    """Confirmed notices in the words of a text, near: the triggers among them."""
+    tried: set[tuple[int, int]] = set()
+    own = _own_gains()
+    for at, to, c in _blocks(near):
+        for saved, k in ranked(words[at:to]):
+            if saved >= MIN_GAIN * own[k] and c == min(w for w in WIDTHS if w >= len(_templates()[k][0])):
+                yield from _aligned(words, at, to, k, tried)
+
+
 def _apart(rows: list[tuple]) -> list[tuple]:
     """Rows (first place, last place, ...) without those that overlap an earlier one."""
     firsts: list[int] = []
@@ -139,16 +178,20 @@ def scan(text: str | None) -> list[tuple]:
     words = [text[p:q].lower() for p, q in spans]
     starts = [p for p, _ in spans]
     near = sorted({max(0, bisect.bisect_right(starts, m.start()) - 1) for m in _TRIGGER.finditer(text)}) if spans else []
-    ranked = []
-    for k, (a, count) in enumerate(_templates()):
-        for i, j, sure in _apart(sorted(_notices(words, near, a, count), key=lambda r: (-r[2][0], len(r[2][2]), r[0], r[1]))):
+    proven: list[list[tuple]] = [[] for _ in TEMPLATES]
+    for k, i, j, sure in _notices(words, near):
+        proven[k].append((i, j, sure))
+    notices = []
+    for k, places in enumerate(proven):
+        for i, j, sure in _apart(sorted(places, key=lambda r: (-r[2][0], len(r[2][2]), r[0], r[1]))):
             at, end = spans[i][0], spans[j][1]
             end += text[end : end + 1] == TEMPLATES[k][1][-1]  # its last stop
-            data = text[at:end].encode("utf-8", "surrogatepass")
+            data = " ".join(words[i : j + 1]).encode("utf-8", "surrogatepass")
             alone = len(plain.compress(data))
             saves = alone - len(primed[k].compress(data))
-            ranked.append((at, end - 1, saves, k, saves / alone, sure))
-    found = _apart(sorted(ranked, key=lambda r: (-r[2], -r[5][0], r[3], r[0])))
+            notices.append((at, end - 1, saves - sum(len(w) for w in sure[1] + sure[2] if w not in _SOFT), k, saves / alone, sure))
+    # of those that overlap the one that saves most bytes, less those of names and other hard words that differ
+    found = _apart(sorted(notices, key=lambda r: (-r[2], -r[5][0], r[3], r[0])))
     return [(TEMPLATES[k][0], at, last + 1 - at, round(gain, 6), round(sure[0], 6), *sure[1:]) for at, last, _, k, gain, sure in sorted(found, key=lambda r: r[0])]
 
 
