@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.operators import assembly, blocks, graph, layout, markup, splitter, structured
+from corpuscle.operators import assembly, blocks, graph, layout, markup, parsed, splitter, structured
 from corpuscle.sources.tables import saved
 
 from .registry import Tables, query
@@ -168,3 +168,44 @@ def reading_order(t: Tables) -> DataFrame:
 def recursive_chunks(t: Tables) -> DataFrame:
     """All documents under the budget of word pieces; a plain version tests the splitter."""
     return splitter.recursive_chunks(t.documents.select("doc_id", "text"))
+
+
+# --- output of page parsers
+
+
+@query(
+    """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(l) AS line, unnest(generate_series(1, len(l))) AS n FROM l)
+SELECT doc_id, CAST(n AS INT) AS page_number, CAST(n AS VARCHAR) AS page_label, '(' || line || ')' AS text FROM p UNION ALL SELECT doc_id, CAST(len(l) + 1 AS INT), CAST(len(l) + 1 AS VARCHAR), '' FROM l"""
+)
+def split_pages(t: Tables) -> DataFrame:
+    """Documents with a separator after each line, as a parser writes it after each page, into pages."""
+    ended = F.transform(F.split("text", "\n"), lambda s, i: F.concat(F.lit("("), s, F.lit(")\n\n--- end of page="), (i + 1).cast("string"), F.lit(" ---\n")))
+    return parsed.split_pages(t.documents.select("doc_id", F.array_join(ended, "").alias("text")))
+
+
+@query(
+    """WITH e AS (SELECT vec_id // 10 AS page, vec_id AS v, row_number() OVER (PARTITION BY vec_id // 10 ORDER BY vec_id) - 1 AS i, v % 5 AS k FROM embeddings),
+b AS (SELECT page, i AS o, CASE k WHEN 1 THEN 'title' WHEN 2 THEN CASE WHEN page % 2 = 0 THEN 'para' ELSE 'table' END END AS kind, CASE k WHEN 0 THEN 's ' || v WHEN 1 THEN 't ' || v WHEN 2 THEN 'c ' || v ELSE 'a' || chr(10) || v END AS said,
+  CASE WHEN k > 0 THEN v END AS x0, CASE WHEN k > 0 THEN v + 1 END AS y0, CASE WHEN k > 0 THEN v + 2 END AS x1, CASE WHEN k > 0 THEN v + 3 END AS y1, CASE WHEN k = 3 THEN 'own' || v WHEN k > 0 THEN 'box-' || i END AS id FROM e WHERE k < 4),
+n AS (SELECT DISTINCT e.page, coalesce(c, 0) AS c, coalesce(tabled, false) AS tabled FROM e LEFT JOIN (SELECT page, count(*) AS c, bool_or(coalesce(kind = 'table', false)) AS tabled FROM b GROUP BY 1) h ON h.page = e.page)
+SELECT page, CAST(o AS INT) AS item_order, kind AS item_type, said AS text, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, id AS parser_block_id FROM b
+UNION ALL SELECT page, CAST(c AS INT), 'table', '[[' || page || ',2]]', NULL, NULL, NULL, NULL, 'table-' || c FROM n WHERE NOT tabled
+UNION ALL SELECT page, CAST(c + CASE WHEN tabled THEN 0 ELSE 1 END AS INT), 'image', '![c](p' || page || '.png)' || chr(10) || 'c', NULL, NULL, NULL, NULL, 'image-' || (c + CASE WHEN tabled THEN 0 ELSE 1 END) FROM n"""
+)
+def page_items(t: Tables) -> DataFrame:
+    """Vectors as boxes of pages, ten to a page, in the shapes that parsers write, with a table and an image for each page."""
+    v, k, page = F.col("vec_id"), F.col("vec_id") % 5, F.expr("vec_id div 10")
+    at = [(v + i).cast("string") for i in range(4)]
+    corners = lambda names: F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{n}":'), x) for n, x in zip(names, at, strict=True))), F.lit("}"))
+    named = F.when(page % 2 == 0, "para").otherwise("table")
+    entry = (
+        F.when(k == 0, F.format_string('" s %d "', v))
+        .when(k == 1, F.format_string('{"text":"t %d","type":"title","bbox":%s}', v, corners(parsed.CORNERS[0])))
+        .when(k == 2, F.format_string('{"content":"c %d","kind":"%s","box":%s}', v, named, corners(parsed.CORNERS[1])))
+        .when(k == 3, F.format_string('{"lines":[" a ",{"value":"%d"}],"rect":[%s],"id":"own%d"}', v, F.concat_ws(",", *at), v))
+        .otherwise('{"text":"  "}')
+    )
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(v.alias("v"), entry.alias("entry")))), lambda x: x["entry"])
+    pages = t.embeddings.groupBy(page.alias("page")).agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("boxes"))
+    pages = pages.select(F.lit(0).alias("doc_id"), "page", "boxes", F.format_string('[{"rows":[[%d,2]]}]', "page").alias("tables"), F.format_string('[{"caption":"c","src":"p%d.png"}]', "page").alias("images"))
+    return parsed.layout_items(pages).drop("doc_id")
