@@ -30,8 +30,9 @@ def split_pages(docs: DataFrame, text: str = "text") -> DataFrame:
     said = F.col(text).cast("string")
     parts = F.split(said, PAGE_END)
     ends = F.regexp_extract_all(said, F.lit(PAGE_END), F.lit(1))
-    rows = docs.where(said.isNotNull()).select("doc_id", F.posexplode(F.zip_with(parts, F.concat(F.array(F.lit("0")), ends), lambda p, n: F.struct(strip(p).alias("text"), n.alias("n"), (F.size(parts) == 1).alias("alone")))).alias("i", "x"))
-    rows = rows.where((F.col("i") > 0) | (F.col("x.text") != "") | F.col("x.alone"))
+    paired = F.zip_with(parts, F.concat(F.array(F.lit("0")), ends), lambda p, n: F.struct(strip(p).alias("text"), n.alias("n")))
+    rows = docs.where(said.isNotNull()).select("doc_id", (~said.rlike(PAGE_END)).alias("alone"), F.posexplode(paired).alias("i", "x"))
+    rows = rows.where((F.col("i") > 0) | (F.col("x.text") != "") | F.col("alone"))
     number = F.when(F.col("i") == 0, 1).otherwise(F.col("x.n").try_cast("int") + 1)
     return rows.select("doc_id", number.alias("page_number"), number.cast("string").alias("page_label"), "x.text")
 
