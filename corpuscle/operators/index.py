@@ -38,8 +38,8 @@ def rewrite_uris(documents: DataFrame, chunks: DataFrame, moved: DataFrame) -> t
 
 
 def runs(chunks: DataFrame, known: DataFrame, at, schema_version: int) -> DataFrame:
-    """doc_id, run_type (`update` for documents in `known`, else `insert`), chunk_count, status, at, schema_version: a log row a document of chunks."""
+    """doc_id, run_type (`update` for documents in `known`, else `append`), chunk_count, status, at, schema_version: a log row a document of chunks."""
     n = chunks.groupBy("doc_id").agg(F.count("*").alias("chunk_count"))
     seen = known.select("doc_id").distinct().withColumn("_seen", F.lit(True))
-    kind = F.when(F.col("_seen"), "update").otherwise("insert")
+    kind = F.when(F.col("_seen"), "update").otherwise("append")
     return n.join(seen, "doc_id", "left").select("doc_id", kind.alias("run_type"), "chunk_count", F.lit("completed").alias("status"), at.alias("at"), F.lit(schema_version).alias("schema_version"))

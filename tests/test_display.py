@@ -123,7 +123,7 @@ def test_index_runs(spark):
     assert (told["a2"].metadata, told["a2"].updated_at, told["b1"].metadata, told["b1"].updated_at) == ('{"b": 1}', 1, "{}", 1)
     assert json.loads(told["c1"].metadata) == json.loads(told["c2"].metadata) == {"source_uri_or_path": "new"}
     log = index.runs(chunks, documents.where("doc_id = 'a'"), F.lit("now"), 3)
-    assert sorted(tuple(r) for r in log.collect()) == [("a", "update", 2, "completed", "now", 3), ("b", "insert", 1, "completed", "now", 3), ("c", "insert", 2, "completed", "now", 3)]
+    assert sorted(tuple(r) for r in log.collect()) == [("a", "update", 2, "completed", "now", 3), ("b", "append", 1, "completed", "now", 3), ("c", "append", 2, "completed", "now", 3)]
 
 
 def test_stores_of_documents(spark, tmp_path):
