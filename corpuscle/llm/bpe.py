@@ -12,7 +12,6 @@ Nulls: a null text is an empty one.  Rows repeat freely.  Other columns of the i
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from heapq import heapify, heappop, heappush
 
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import kept_by_worker, tidy
 from .perfect_hash import PerfectHash
 from .units import UnitTable
 from .words import ranges, slices
@@ -108,7 +107,7 @@ class _Table:
         return self.data[ranges(self.at[ids], size)].tobytes(), ends[begin].tolist()
 
 
-@functools.cache
+@kept_by_worker
 def codec(path: str, pattern: str) -> Codec:
     """One for each Python worker."""
     return Codec(path, pattern)

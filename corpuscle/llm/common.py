@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 import numpy as np
@@ -40,31 +41,64 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: list = []
+
+
+def kept_by_worker(make):
+    """make's results, one for each Python worker and arguments, until a task of another module's function begins there."""
+    cached = functools.cache(make)
+    _KEPT.append(cached)
+    return cached
+
+
+def forget_others(module: str) -> None:
+    """Drops what this worker keeps for tasks of other modules; such objects may hold each other."""
+    others = [x for x in _KEPT if x.__module__ != module and x.cache_info().currsize]
+    for x in others:
+        x.cache_clear()
+    if others:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that is free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy(fn):
-    """fn over a task's batches; at the end its worker, which lives on, gives memory that is free back to the system."""
+    """fn over a task's batches; its worker, which lives on, first forgets what other operators kept, and gives memory back at the end."""
 
     @functools.wraps(fn)
     def run(batches):
+        forget_others(fn.__module__)
         try:
             yield from fn(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            give_back()
 
     return run
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def set_small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """From now on Spark hands Python tasks at most so many rows at a time, so whole texts take little room beside the heap."""
+    spark.conf.set(_BATCH, str(rows))
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 256):
-    """Within, Spark hands Python tasks at most so many rows at a time, so whole texts take little room beside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """set_small_batches, within."""
+    before = spark.conf.get(_BATCH)
+    set_small_batches(spark, rows)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_BATCH, before)
 
 
 #: Rows of a few numbers each that every executor may hold.

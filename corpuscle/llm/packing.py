@@ -18,7 +18,6 @@ ignored, and an empty table gives no rows.
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small, saved, tidy
+from .common import if_small, kept_by_worker, saved, tidy
 from .units import UnitTable
 from .words import slices
 
@@ -71,7 +70,7 @@ class SpacedEncoder:
         return out
 
 
-@functools.cache
+@kept_by_worker
 def encoder(path: str) -> SpacedEncoder:
     """One for each Python worker."""
     return SpacedEncoder(path)

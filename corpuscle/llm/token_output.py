@@ -14,7 +14,6 @@ Rows repeat freely; the index leads to the first of those with equal keys.  Othe
 
 from __future__ import annotations
 
-import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import kept_by_worker, mix64
 from .perfect_hash import PerfectHash
 from .units import UnitTable
 from .words import slices
@@ -73,7 +72,7 @@ class Encoder:
         return out
 
 
-@functools.cache
+@kept_by_worker
 def encoder(path: str) -> Encoder:
     """One for each Python worker."""
     return Encoder(path)
