@@ -14,6 +14,7 @@ NUMERIC = r"(?i)([0-9]+(?:\.[0-9]+)?(?:%|MPa|天))"
 NORMATIVE = r"不应|不得|应|宜|可"
 ASSERTION = r"(?i)[0-9]|%|more|less|higher|lower|increase|decrease|because|therefore|due to|提高|降低|因此|导致"
 CITATION = r"\[([0-9]+)\]"
+WORD_PIECE = r"(?U)[\w一-鿿]+"
 
 
 def col(c) -> Column:
@@ -45,8 +46,9 @@ def clean_ingest(c) -> Column:
     no blanks at line ends, at most two blank lines together.  Runs of blanks inside a line become one, but for table
     rows and what stands between code fences; blanks that set a line in stay.
     """
-    t = F.regexp_replace(col(c), r"\r\n?", "\n")
-    t = F.when(F.contains(t, F.lit("-\n")), F.regexp_replace(t, r"(?U)(?<=\w)-\n(?=\w)", "")).otherwise(t)
+    plain_ends = lambda t: F.when(F.contains(t, F.lit("\r")), F.regexp_replace(t, r"\r\n?", "\n")).otherwise(t)
+    unbroken = lambda t: F.when(F.contains(t, F.lit("-\n")), F.regexp_replace(t, r"(?U)(?<=\w)-\n(?=\w)", "")).otherwise(t)
+    t = let(let(col(c), plain_ends), unbroken)
     t = F.replace(F.replace(t, F.lit("\u00a0"), F.lit(" ")), F.lit("\t"), F.lit("    "))
     t = F.regexp_replace(t, f"(?<![{BLANKS}])[{BLANKS}]++(?=\n|\\z)", "")
     fence = f"(?<![^\n])[{BLANKS}]*(?:```|~~~)[^\n]*"
@@ -113,7 +115,7 @@ def anchors(c) -> Column:
 
 
 def word_pieces(c) -> Column:
-    return F.greatest(F.lit(1), F.regexp_count(col(c), F.lit(r"(?U)[\w一-鿿]+")))
+    return F.greatest(F.lit(1), F.regexp_count(col(c), F.lit(WORD_PIECE)))
 
 
 def match_text(c) -> Column:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import anchors, child_key, normalize, snippet, word_pieces
+from corpuscle.functions.text import anchors, child_key, let, normalize, snippet, word_pieces
 
 from .chunking import BUDGET, bounded_text, code_units, pack, table_chunks
 from .splitter import recursive_split
@@ -98,11 +98,11 @@ def splits(budget: int = BUDGET) -> Column:
     named = lambda texts, name: F.transform(texts, lambda x: F.struct(x.alias("text"), F.lit(name).alias("strategy")))
     parts = lambda packed: F.transform(packed, lambda x: x["text"])
     rest = F.when(word_pieces("text") <= budget, whole).otherwise(named(recursive_split("text", budget), "fallback"))
+    some = lambda texts, name, fits=lambda x: F.size(x) > 0: let(texts, lambda x: F.when(fits(x), named(x, name)))
     kind = F.col("block_type")
-    rows, items, units = parts(table_chunks("text", budget)), parts(pack(list_groups("text"), budget)), code_units("text")
-    return (
-        F.when((kind == "table") & (F.size(rows) > 0), named(rows, "table_rows")).when((kind == "list") & (F.size(items) > 0), named(items, "list_items"))
-        .when((kind == "code") & (F.size(units) > 0) & F.forall(units, lambda x: word_pieces(x) <= budget), named(units, "code_units")).otherwise(rest)
+    return F.coalesce(
+        F.when(kind == "table", some(parts(table_chunks("text", budget)), "table_rows")), F.when(kind == "list", some(parts(pack(list_groups("text"), budget)), "list_items")),
+        F.when(kind == "code", some(code_units("text"), "code_units", lambda x: (F.size(x) > 0) & F.forall(x, lambda u: word_pieces(u) <= budget))), rest,
     )
 
 
@@ -112,29 +112,39 @@ def _line(label: str, value: Column) -> Column:
     return F.when(v != "", F.concat(F.lit(f"{label}: "), v))
 
 
-def inherited_anchors(child: str = "child_text", block: str = "text", parent: str = "content") -> Column:
-    """A child's anchors; what it lacks comes from its block, then from its parent, unless it names both a clause and a table."""
-    a, b, p = anchors(child), anchors(block), anchors(parent)
-    own = a["clause_id"].isNotNull() & a["table_id"].isNotNull()
-    first = lambda f: F.coalesce(a[f], F.when(~own, F.coalesce(b[f], p[f])))
-    terms = F.when(a["has_numeric"] | own, a["numeric_terms"]).when(b["has_numeric"], b["numeric_terms"]).otherwise(p["numeric_terms"])
-    either = lambda f: a[f] | (~own & (b[f] | p[f]))
-    return F.struct(*(first(f).alias(f) for f in ("clause_id", "table_id", "english_alias")), terms.alias("numeric_terms"), (F.size(terms) > 0).alias("has_numeric"), either("is_normative").alias("is_normative"), either("is_anchor").alias("is_anchor"))
+def inherited_anchors(child: Column, block: Column, parent: Column) -> Column:
+    """A child's anchors, of its own and those of its block and parent; what it lacks comes from its block, then from its parent, unless it names both a clause and a table."""
 
+    def resolved(a: Column) -> Column:
+        own = a["clause_id"].isNotNull() & a["table_id"].isNotNull()
+        first = lambda f: F.coalesce(a[f], F.when(~own, F.coalesce(block[f], parent[f])))
+        terms = F.when(a["has_numeric"] | own, a["numeric_terms"]).when(block["has_numeric"], block["numeric_terms"]).otherwise(parent["numeric_terms"])
+        either = lambda f: a[f] | (~own & (block[f] | parent[f]))
+        return F.struct(*(first(f).alias(f) for f in ("clause_id", "table_id", "english_alias")), terms.alias("numeric_terms"), (F.size(terms) > 0).alias("has_numeric"), either("is_normative").alias("is_normative"), either("is_anchor").alias("is_anchor"))
 
-def retrieval_text(budget: int = BUDGET) -> Column:
-    """The text a chunk is found by: lines on what it belongs to, as many as fit, above a table's, image's, formula's or regulation's own text."""
-    kind, a, child = F.col("block_type"), F.col("anchors"), F.col("child_text")
+    return let(child, resolved)
+
+
+def context_lines() -> tuple[Column, Column]:
+    """Lines on what a block's chunks belong to: those of any block, and all of a table, an image or a formula, null for other types."""
+    kind = F.col("block_type")
     top = [_line("Title", F.col("title")), _line("Section", F.array_join("section_path", " > "))]
     caption, context = _line("Caption", F.col("caption_text")), _line("Context", snippet("related", 160))
     symbols = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit(SYMBOL), F.lit(0)))), ", ")
     table = [*top, caption, _line("Headers", F.col("table_headers")), _line("Rows", F.col("table_row_count"))]
     image = [*top, _line("Image title", F.col("image_title")), _line("Alt", F.col("image_alt_text")), caption, context]
     formula = [*top, caption, _line("Formula", normalize("text")), _line("Symbols", symbols), context]
-    law = [*top, _line("Clause", a["clause_id"]), _line("Table", a["table_id"]), _line("English alias", a["english_alias"]), _line("Numeric anchors", F.array_join(a["numeric_terms"], ", "))]
     known = F.coalesce("caption_text", "table_headers", "table_row_count").isNotNull()
-    lines = F.when((kind == "table") & known, F.array(*table)).when(kind == "image", F.array(*image)).when(kind == "formula", F.array(*formula)).when(~kind.isin("table", "image", "formula") & a["is_anchor"], F.array(*law)).otherwise(F.array().cast("array<string>"))
-    return bounded_text(lines, child, budget)
+    none = F.array().cast("array<string>")
+    return F.array(*top), F.when(kind == "table", F.when(known, F.array(*table)).otherwise(none)).when(kind == "image", F.array(*image)).when(kind == "formula", F.array(*formula))
+
+
+def retrieval_text(budget: int = BUDGET) -> Column:
+    """The text a chunk is found by: lines on what it belongs to, as many as fit, above a table's, image's, formula's or regulation's own text."""
+    a = F.col("anchors")
+    law = [_line("Clause", a["clause_id"]), _line("Table", a["table_id"]), _line("English alias", a["english_alias"]), _line("Numeric anchors", F.array_join(a["numeric_terms"], ", "))]
+    lines = F.coalesce("typed_lines", F.when(a["is_anchor"], F.concat("top_lines", F.array(*law))), F.array().cast("array<string>"))
+    return bounded_text(lines, F.col("child_text"), budget)
 
 
 def chunks(blocks: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFrame:
@@ -143,12 +153,17 @@ def chunks(blocks: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFra
     parent_content is null where it is too long to be carried; `parents` is the store that hydration reads.
     """
     source = source_blocks(blocks)
-    rows = source.join(parents(source, edges, budget), ["doc_id", "block_order"]).withColumn("children", splits(budget)).withColumn("child_count", F.size("children"))
+    top, typed = context_lines()
+    # whatever a block's children share is worked out before they are rows, and its texts go no further
+    rows = source.join(parents(source, edges, budget), ["doc_id", "block_order"]).withColumns({
+        "children": splits(budget), "block_anchors": let(anchors("text"), lambda a: a), "parent_anchors": let(anchors("content"), lambda a: a), "top_lines": top, "typed_lines": typed, "parent_content": F.when(F.col("available") == "metadata", F.col("content")),
+    })
+    rows = rows.drop("content", "text").withColumn("child_count", F.size("children"))
     rows = rows.select("*", F.posexplode("children").alias("child_index", "child")).select("*", F.col("child.text").alias("child_text"), F.col("child.strategy").alias("split_strategy")).drop("children", "child")
-    rows = rows.withColumn("anchors", inherited_anchors()).withColumn("retrieval_text", retrieval_text(budget))
+    rows = rows.withColumn("anchors", inherited_anchors(anchors("child_text"), F.col("block_anchors"), F.col("parent_anchors"))).withColumn("retrieval_text", retrieval_text(budget))
     kind = F.when(F.col("block_type").isin("table", "image", "formula"), F.col("block_type")).otherwise("regulation")
     key = child_key(F.col("doc_id").cast("string"), "block_id", "parent_id", F.col("child_index").cast("string"), "child_text")
     return rows.withColumns({
         "chunk_id": key, "retrieval_strategy": F.when(F.col("retrieval_text") == F.col("child_text"), "original").otherwise(F.concat(kind, F.lit("_enhanced"))), "section_depth": F.size("section_path"),
-        "chunk_words": word_pieces("child_text"), "retrieval_words": word_pieces("retrieval_text"), "parent_content": F.when(F.col("available") == "metadata", F.col("content")),
-    }).drop("content", "text")
+        "chunk_words": word_pieces("child_text"), "retrieval_words": word_pieces("retrieval_text"),
+    }).drop("block_anchors", "parent_anchors", "top_lines", "typed_lines")

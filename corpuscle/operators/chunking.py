@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscle.functions.text import word_pieces
+from corpuscle.functions.text import WORD_PIECE, let, word_pieces
 
 BUDGET, OVERLAP = 220, 40
 
@@ -37,18 +37,22 @@ def pack(lines: Column, budget: int, header: Column | None = None) -> Column:
     """
     head = F.coalesce(header, F.lit("")) if header is not None else F.lit("")
     whole = lambda ls: F.concat(F.when(head != "", F.concat(head, F.lit("\n"))).otherwise(""), F.array_join(ls, "\n"))
+    # no word goes over a line's end, so the words of lines and header add up
+    words = lambda x: F.regexp_count(x, F.lit(WORD_PIECE))
     empty = F.array().cast("array<string>")
     none = F.array().cast("array<struct<first:int,last:int,text:string>>")
-    start = F.struct(none.alias("out"), F.lit(1).alias("first"), F.lit(1).alias("at"), empty.alias("cur"), F.lit(False).alias("over"))
+    start = F.struct(none.alias("out"), F.lit(1).alias("first"), F.lit(1).alias("at"), empty.alias("cur"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+    counted = F.transform(lines, lambda x: F.struct(x.alias("line"), words(x).alias("n")))
 
-    def step(a, line):
-        fits = word_pieces(whole(F.concat(a["cur"], F.array(line)))) <= budget
+    def step(a, x, top):
+        line, n = F.array(x["line"]), x["n"]
+        fits = F.greatest(F.lit(1), top + a["n"] + n) <= budget
         done = F.struct(a["first"].alias("first"), (a["at"] - 1).alias("last"), whole(a["cur"]).alias("text"))
         flush = ~fits & (F.size(a["cur"]) > 0)
-        return F.struct(F.when(flush, F.concat(a["out"], F.array(done))).otherwise(a["out"]).alias("out"), F.when(flush, a["at"]).otherwise(a["first"]).alias("first"), (a["at"] + 1).alias("at"), F.when(flush, F.array(line)).otherwise(F.concat(a["cur"], F.array(line))).alias("cur"), (a["over"] | (word_pieces(whole(F.array(line))) > budget)).alias("over"))
+        return F.struct(F.when(flush, F.concat(a["out"], F.array(done))).otherwise(a["out"]).alias("out"), F.when(flush, a["at"]).otherwise(a["first"]).alias("first"), (a["at"] + 1).alias("at"), F.when(flush, line).otherwise(F.concat(a["cur"], line)).alias("cur"), F.when(flush, n).otherwise(a["n"] + n).alias("n"), (a["over"] | (F.greatest(F.lit(1), top + n) > budget)).alias("over"))
 
     finish = lambda a: F.when(~a["over"], F.when(F.size(a["cur"]) > 0, F.concat(a["out"], F.array(F.struct(a["first"].alias("first"), (a["at"] - 1).alias("last"), whole(a["cur"]).alias("text"))))).otherwise(a["out"]))
-    return F.aggregate(lines, start, step, finish)
+    return let(words(head), lambda top: F.aggregate(counted, start, lambda a, x: step(a, x, top), finish))
 
 
 def table_chunks(text, budget: int = BUDGET) -> Column:

@@ -15,7 +15,7 @@ from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import clean_ingest, let, strip
@@ -184,26 +184,40 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     # each block's own text first; what a list, a table or an image says instead is found where it is one
     numbered = F.transform("elements", lambda e, i: F.when(tag(e).isin(*BLOCK_TAGS), F.struct(i.alias("i"), e.alias("e"), _said(e, "\n").alias("said"))))
     rows = rows.select("doc_id", "title", "strings", "elements", F.filter(F.array_compact(numbered), lambda b: (b["said"] != "") | (b["e"]["tag"] == "img")).alias("b"))
-    heads = F.filter("b", lambda b: b["e"]["tag"].rlike("^h[1-6]$"))
+    level = lambda e: F.when(tag(e).rlike("^h[1-6]$"), F.substring(tag(e), 2, 1).cast("int"))
+    heads = F.array_compact(F.transform("b", lambda b, k: F.when(level(b["e"]).isNotNull(), F.struct(k.alias("at"), level(b["e"]).alias("level"), b["said"].alias("said")))))
     root = F.array_compact(F.array(F.nullif("title", F.lit(""))))
     last = lambda a: F.element_at(a, -1)
-    paths = F.aggregate(heads, F.array(root), lambda a, b: F.concat(a, F.array(update_path(last(a), F.substring(b["e"]["tag"], 2, 1).cast("int"), b["said"]))))
-    rows = rows.withColumn("paths", paths).select("*", F.posexplode("b").alias("at", "block")).select("*", "block.*").drop("b", "block")
-    level = F.when(F.col("e.tag").rlike("^h[1-6]$"), F.substring("e.tag", 2, 1).cast("int"))
-    e, i, said, t = F.col("e"), F.col("i"), F.col("said"), F.col("e.tag")
-    kind = (
-        F.when(level.isNotNull(), "section_header").when(t.isin("pre", "code"), "code").when(t.isin("ul", "ol"), "list").when(t == "table", "table").when(t == "img", "image").when(t == "figcaption", "caption")
-        .when((t == "math") | looks_like_formula(said), "formula").when(said.rlike(CAPTION_LINE), "caption").otherwise("paragraph")
-    )
-    rows = rows.withColumns({"block_type": kind, "heading_level": level, "cells": F.when(t == "table", _table(e, i))})
-    text = F.when(F.col("block_type") == "list", _list_text(e, i)).when(F.col("block_type") == "table", linearize_rows(F.col("cells.headers"), F.col("cells.rows"))).when(F.col("block_type") == "image", image_text(F.col("e.alt"), F.col("e.src"), F.col("e.title"))).otherwise(said)
-    before = F.sum(F.col("heading_level").isNotNull().cast("int"))
-    order = Window.partitionBy("doc_id").orderBy("at")
-    rows = rows.withColumn("text", text).withColumn("section_path", F.element_at("paths", before.over(order).cast("int") + 1)).drop("strings", "elements", "paths").where(F.col("text") != "")
-    caption = F.when(F.col("block_type") == "caption", F.when(said.rlike(CAPTION_LINE), said))
-    filled = lambda c: F.nullif(c, F.lit(""))
+    paths = F.aggregate("heads", F.array(root), lambda a, h: F.concat(a, F.array(update_path(last(a), h["level"], h["said"]))))
+    # each path holds from its heading to the next
+    ends = F.concat(F.transform("heads", lambda h: h["at"]), F.array(F.size("b")))
+    spread = let(ends, lambda at: F.flatten(F.transform("paths", lambda p, k: F.array_repeat(p, at[k] - F.when(k > 0, F.get(at, k - 1)).otherwise(0)))))
+    rows = rows.withColumn("heads", heads).withColumn("paths", paths).withColumn("paths", spread)
+
+    def kind(b: Column) -> Column:
+        t, said = b["e"]["tag"], b["said"]
+        return (
+            F.when(level(b["e"]).isNotNull(), "section_header").when(t.isin("pre", "code"), "code").when(t.isin("ul", "ol"), "list").when(t == "table", "table").when(t == "img", "image").when(t == "figcaption", "caption")
+            .when((t == "math") | looks_like_formula(said), "formula").when(said.rlike(CAPTION_LINE), "caption").otherwise("paragraph")
+        )
+
+    def typed(b: Column, path: Column) -> Column:
+        e, i = b["e"], b["i"]
+
+        def told(x: Column) -> Column:
+            text = F.when(x["kind"] == "list", _list_text(e, i)).when(x["kind"] == "table", linearize_rows(x["cells"]["headers"], x["cells"]["rows"])).when(x["kind"] == "image", image_text(e["alt"], e["src"], e["title"])).otherwise(b["said"])
+            named = {n: e[n] for n in ("alt", "src", "title")} | {"said": b["said"], "level": level(e), "path": path, "headers": F.array_join(x["cells"]["headers"], ", "), "n_rows": F.size(x["cells"]["rows"])}
+            return F.struct(x["kind"].alias("kind"), text.alias("text"), *(c.alias(n) for n, c in named.items()))
+
+        return let(F.struct(kind(b).alias("kind"), F.when(tag(e) == "table", _table(e, i)).alias("cells")), told)
+
+    # arrays of a page stay in one row until its blocks are whole, so no block carries its page and none is shuffled
+    blocks = F.filter(F.zip_with("b", "paths", typed), lambda x: x["text"] != "")
+    rows = rows.select("doc_id", F.col("title").alias("page_title"), F.posexplode(blocks).alias("block_order", "block")).select("doc_id", "page_title", "block_order", "block.*")
+    caption, table = F.col("kind") == "caption", F.col("kind") == "table"
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
     return rows.select(
-        "doc_id", (F.row_number().over(order) - 1).alias("block_order"), "block_type", "text", "heading_level", "section_path", F.when(F.col("block_type") == "caption", "caption").otherwise("body").alias("layout_role"), F.col("title"),
-        caption.alias("caption_text"), filled(F.col("e.alt")).alias("image_alt_text"), filled(F.col("e.src")).alias("image_source"), filled(F.col("e.title")).alias("image_title"),
-        F.when(t == "table", F.array_join("cells.headers", ", ")).alias("table_headers"), F.when(t == "table", F.size("cells.rows")).alias("table_row_count"),
+        "doc_id", "block_order", F.col("kind").alias("block_type"), "text", F.col("level").alias("heading_level"), F.col("path").alias("section_path"), F.when(caption, "caption").otherwise("body").alias("layout_role"), F.col("page_title").alias("title"),
+        F.when(caption & F.col("said").rlike(CAPTION_LINE), F.col("said")).alias("caption_text"), filled("alt").alias("image_alt_text"), filled("src").alias("image_source"), filled("title").alias("image_title"),
+        F.when(table, F.col("headers")).alias("table_headers"), F.when(table, F.col("n_rows")).alias("table_row_count"),
     )

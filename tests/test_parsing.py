@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import clean_ingest
-from corpuscle.operators import markup, structured
+from corpuscle.operators import assembly, markup, structured
 
 rng = np.random.default_rng(11)
 
@@ -290,3 +290,18 @@ def test_document_blocks(spark):
         1: [("csv", "table", "Table columns: a, b\nRow 1: a=1; b=2")], 2: [("json", "paragraph", "k=1")], 3: [("html", "paragraph", "hi")], 4: [("text", "section_header", "T"), ("text", "paragraph", "1 < 2 > 0"), ("text", "list", "- a\n- b")],
         5: [("text", "paragraph", "plain text")], 7: [("text", "paragraph", "<b>x</b>")],
     }
+
+
+def test_blocks_of_a_page_need_no_shuffle(spark, sf_dir):
+    plan = markup.html_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumnRenamed("page_id", "doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_children_carry_no_text_of_their_block(spark):
+    rows = [(1, 0, "list", "\n".join(f"clause 1.{i} " + "w " * 30 for i in range(40)))]
+    found = assembly.chunks(spark.createDataFrame(rows, "doc_id long, block_order int, block_type string, text string"), spark.createDataFrame([], "doc_id long, source int, target int, edge_type string, weight double"), 50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode(children")[0]
+    # only the child's own text meets the patterns of anchors above the rows of children
+    assert "child_text#" in plan and not re.search(r"\b(text|content)#", plan)
+    got = found.orderBy("child_index").collect()
+    assert len(got) == 40 and [r.anchors.clause_id for r in got] == [f"1.{i}" for i in range(40)] and all(r.parent_content is None for r in got)
