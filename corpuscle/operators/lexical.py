@@ -4,7 +4,8 @@ Texts are cut into tokens once.  A batch of at most SMALL_BATCH tokens (counted
 a task writes which of them it has, which is a fraction of the text.  Counts and scores come from that table: with all
 weights at hand a task's scores are complete, so it adds them up by arrays and passes on the k best of each query.  No row
 for a question and a document is shuffled.  Larger batches meet the tokens by joins, and cut texts twice.
-Scores are rounded to 9 places before they rank, so that sums in another order don't decide.
+Scores are sums of whole numbers (two for each weight), which are the same in any order, and are rounded to 9 places, halves
+up, before they rank: documents with the same tokens tie whatever the order of their words.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from corpuscle.sources.tables import saved
 K1, B = 1.5, 0.75
 #: Tokens of a batch of queries that every task may hold; scores a task works out at a time; candidates it holds.
 SMALL_BATCH, AT_ONCE, HELD = 1 << 18, 1 << 22, 1 << 17
+#: A weight is HIGH parts of a unit and LOW parts of one of those; sums of 2**17 of either are exact in a double.
+HIGH, LOW = float(1 << 30), float(1 << 36)
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,12 +64,15 @@ class Weights:
         many = self.first[place + 1] - self.first[place]
         start = np.repeat(self.first[place] - np.concatenate(([0], np.cumsum(many)[:-1])), many) if len(place) else np.zeros(0, np.int64)
         query = self.query[start + np.arange(len(start))]
-        total = np.bincount(np.repeat(doc, many) * q + query, np.repeat(self.idf[place], many), n * q).astype(float).reshape(n, q)
         norm = 1 - B + B * length / self.avg if self.avg else np.ones(n)
-        total *= ((K1 + 1) / (1 + K1 * norm))[:, None]
+        part = self.idf[place] * (K1 + 1) / (1 + K1 * norm)[doc]
+        high = np.floor(part * HIGH)
+        low = np.rint((part * HIGH - high) * LOW)
+        cell = np.repeat(doc, many) * q + query
+        total = (np.bincount(cell, np.repeat(high, many), n * q) / HIGH + np.bincount(cell, np.repeat(low, many), n * q) / (HIGH * LOW)).reshape(n, q)
         for i, wanted in self.only.items() if kinds is not None else ():
             total[[k not in wanted for k in kinds], i] = 0
-        return np.round(total, 9)
+        return np.floor(total * 1e9 + 0.5) / 1e9
 
 
 def _best(found: pa.Table, k: int) -> pa.Table:
@@ -144,5 +150,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, where: Column | None = Non
     if aimed:
         hits = hits.where(F.col("only").isNull() | F.array_contains("only", F.col("block_type")))
     norm = F.when(F.col("avg_dl") == 0, F.lit(1.0)).otherwise(1 - B + B * F.col("dl") / F.col("avg_dl"))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("idf") * (K1 + 1) / (1 + K1 * norm)), 9).alias("score")).where("score > 0")
+    hits = hits.withColumn("part", F.col("idf") * (K1 + 1) / (1 + K1 * norm) * HIGH).withColumns({"high": F.floor("part"), "low": F.rint((F.col("part") - F.floor("part")) * LOW).cast("long")})
+    total = F.sum("high") / F.lit(HIGH) + F.sum("low") / F.lit(HIGH * LOW)
+    scored = hits.groupBy("query_id", "chunk_id").agg((F.floor(total * 1e9 + 0.5) / F.lit(1e9)).alias("score")).where("score > 0")
     return scored.withColumn("lexical_rank", F.row_number().over(order)).where(F.col("lexical_rank") <= k)

@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpuscle.operators import dense, lexical
@@ -50,6 +52,24 @@ def test_bm25(spark, monkeypatch, small, at_once):
     assert lexical.bm25(frame.limit(0), asked, 5).count() == 0 == lexical.bm25(frame, asked.limit(0), 5).count()
 
 
+def scores_of_both_orders():
+    """Scores of 40,000 lengths of a document, its 60 tokens in two orders, and the sum of its parts without error."""
+    tokens, n, lengths = [f"t{i}" for i in range(60)], 100000, np.arange(60, 40060)
+    df = {i: 3 + 71 * i for i in range(60)}
+    w = lexical.Weights([Row(query_id=1, token=t) for t in tokens], tokens, df, n, 30000 * n)
+    orders = np.random.default_rng(1).permuted(np.tile(np.arange(60, dtype=np.int32), (80000, 1)), axis=1)
+    places = pa.ListArray.from_arrays(pa.array(np.arange(0, 60 * 80001, 60), pa.int32()), pa.array(orders.ravel()))
+    exact = [math.fsum(w.idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * x / 30000))) for x in lengths.tolist()]
+    return w.scores(places, np.repeat(lengths, 2), None).reshape(-1, 2), np.array(exact)
+
+
+def test_scores_do_not_follow_the_order_of_words():
+    s, exact = scores_of_both_orders()
+    assert (s[:, 0] == s[:, 1]).all()
+    # halves go up, as SQL rounds
+    assert (s[:, 0] == np.floor(exact * 1e9 + 0.5) / 1e9).all()
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_dense(spark, monkeypatch, block):
     monkeypatch.setattr(dense, "BLOCK", block)
