@@ -22,6 +22,7 @@ PARENT_EDGES = ("has_caption", "caption_of", "references", "referenced_by", "for
 MOST_BLOCKS, PARENT_SIZE, INLINE_SIZE = 3, 4, 2
 SYMBOL = r"\\sum|\\int|\\frac|\\sqrt|<=|>=|==|!=|=|\^|_|\+|-"
 WORD = r"(?U)[\w一-鿿]+"
+PARENT = ("content", "related", "block_ids", "relation_types", "strategy", "parent_id", "words", "content_hash", "preview", "available")
 
 
 def source_blocks(blocks: DataFrame) -> DataFrame:
@@ -51,7 +52,8 @@ def picked(source: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFra
     """
     size = F.regexp_count("text", F.lit(WORD)) + F.regexp_count(_label(), F.lit(WORD))
     sizes = source.select("doc_id", "block_order", size.alias("size"))
-    near = edges.where(F.col("edge_type").isin(*PARENT_EDGES) & (F.col("source") != F.col("target"))).join(sizes.withColumnRenamed("block_order", "target"), ["doc_id", "target"])
+    near = edges.where(F.col("edge_type").isin(*PARENT_EDGES) & (F.col("source") != F.col("target"))).withColumnRenamed("target", "block_order")
+    near = near.join(sizes, ["doc_id", "block_order"]).withColumnRenamed("block_order", "target")
     best = near.groupBy("doc_id", F.col("source").alias("block_order")).agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "edge_type", "target", "size"))).alias("near"))
     start = F.struct(F.col("size").cast("long").alias("size"), F.array().cast("array<struct<target:int,edge_type:string>>").alias("picks"))
 
@@ -70,6 +72,11 @@ def parents(source: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFr
     Its blocks stand in the order of pages and blocks, each under its type; a block alone is its own content.  A content
     beyond two budgets isn't carried by its chunks but read from the store.
     """
+    return with_parents(source, edges, budget).select("doc_id", "block_order", *PARENT)
+
+
+def with_parents(source: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The source blocks with the fields of their parents."""
     picks = picked(source, edges, budget)
     members = picks.select("doc_id", "block_order", F.explode(F.concat(F.transform("picks", lambda p: p["target"]), F.array(F.col("block_order").cast("int")))).alias("member"))
     place = F.coalesce(F.expr("try_cast(page as int)"), F.lit(1000000000))
@@ -79,7 +86,7 @@ def parents(source: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFr
     related = F.array_join(F.transform(F.filter("b", lambda x: x["block_order"] != F.col("block_order")), lambda x: x["text"]), " ")
     grown = rows.select("doc_id", "block_order", content.alias("grown"), related.alias("related"), F.transform("b", lambda x: x["block_id"]).alias("ids"))
     found = source.join(picks, ["doc_id", "block_order"], "left").join(grown, ["doc_id", "block_order"], "left")
-    found = found.select("doc_id", "block_order", F.coalesce("grown", "text").alias("content"), F.coalesce("related", F.lit("")).alias("related"), F.coalesce("ids", F.array("block_id")).alias("block_ids"), F.coalesce(F.transform("picks", lambda p: p["edge_type"]), F.array().cast("array<string>")).alias("relation_types"), F.when(F.col("grown").isNull(), "single_block").otherwise("relation_limited").alias("strategy"))
+    found = found.select(*source.columns, F.coalesce("grown", "text").alias("content"), F.coalesce("related", F.lit("")).alias("related"), F.coalesce("ids", F.array("block_id")).alias("block_ids"), F.coalesce(F.transform("picks", lambda p: p["edge_type"]), F.array().cast("array<string>")).alias("relation_types"), F.when(F.col("grown").isNull(), "single_block").otherwise("relation_limited").alias("strategy"))
     name = F.concat_ws(":", F.col("doc_id").cast("string"), F.array_join("block_ids", ":"), F.lit("parent"))
     found = found.withColumns({"parent_id": F.concat(F.lit("parent-"), F.left(F.sha1(name.cast("binary")), F.lit(16))), "words": word_pieces("content"), "content_hash": F.sha2(F.col("content").cast("binary"), 256), "preview": snippet("content", 240)})
     return found.withColumn("available", F.when(F.col("words") <= INLINE_SIZE * budget, "metadata").otherwise("store"))
@@ -147,20 +154,25 @@ def retrieval_text(budget: int = BUDGET) -> Column:
     return bounded_text(lines, F.col("child_text"), budget)
 
 
-def chunks(blocks: DataFrame, edges: DataFrame, budget: int = BUDGET) -> DataFrame:
+def chunks(blocks: DataFrame, edges: DataFrame, budget: int = BUDGET, captions: DataFrame | None = None) -> DataFrame:
     """Child chunks: ids, child_index and child_count, child_text, retrieval_text with its strategy, anchors, and the parent's fields.
 
-    parent_content is null where it is too long to be carried; `parents` is the store that hydration reads.
+    parent_content is null where it is too long to be carried; `parents` is the store that hydration reads.  captions
+    (doc_id, block_order, caption_text) take the place of the blocks' own caption_text; they meet each block's row once.
     """
     source = source_blocks(blocks)
     top, typed = context_lines()
     # whatever a block's children share is worked out before they are rows, and its texts go no further
-    rows = source.join(parents(source, edges, budget), ["doc_id", "block_order"]).withColumns({
-        "children": splits(budget), "block_anchors": let(anchors("text"), lambda a: a), "parent_anchors": let(anchors("content"), lambda a: a), "top_lines": top, "typed_lines": typed, "parent_content": F.when(F.col("available") == "metadata", F.col("content")),
+    held = with_parents(source, edges, budget)
+    if captions is not None:
+        held = held.drop("caption_text").join(captions, ["doc_id", "block_order"], "left")
+    # a parent or a child that is the block itself has the block's anchors
+    rows = held.withColumn("block_anchors", let(anchors("text"), lambda a: a)).withColumns({
+        "children": splits(budget), "parent_anchors": F.when(F.col("strategy") == "single_block", F.col("block_anchors")).otherwise(let(anchors("content"), lambda a: a)), "top_lines": top, "typed_lines": typed, "parent_content": F.when(F.col("available") == "metadata", F.col("content")),
     })
     rows = rows.drop("content", "text").withColumn("child_count", F.size("children"))
     rows = rows.select("*", F.posexplode("children").alias("child_index", "child")).select("*", F.col("child.text").alias("child_text"), F.col("child.strategy").alias("split_strategy")).drop("children", "child")
-    rows = rows.withColumn("anchors", inherited_anchors(anchors("child_text"), F.col("block_anchors"), F.col("parent_anchors"))).withColumn("retrieval_text", retrieval_text(budget))
+    rows = rows.withColumn("anchors", inherited_anchors(F.when(F.col("split_strategy") == "single_block", F.col("block_anchors")).otherwise(anchors("child_text")), F.col("block_anchors"), F.col("parent_anchors"))).withColumn("retrieval_text", retrieval_text(budget))
     kind = F.when(F.col("block_type").isin("table", "image", "formula"), F.col("block_type")).otherwise("regulation")
     key = child_key(F.col("doc_id").cast("string"), "block_id", "parent_id", F.col("child_index").cast("string"), "child_text")
     return rows.withColumns({

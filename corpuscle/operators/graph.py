@@ -99,11 +99,16 @@ def caption_edges(blocks: DataFrame, targets: DataFrame | None = None) -> DataFr
     return _edges(t, _edge("caption_of", "block_order", "target"), _edge("has_caption", "target", "block_order"), _edge("table_row_context", "block_order", "table"))
 
 
+def captions(blocks: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """doc_id, block_order, caption_text: the text of the last caption of each block that has one."""
+    t = targets if targets is not None else caption_targets(blocks)
+    texts = blocks.where("block_type = 'caption'").select("doc_id", "block_order", "text")
+    return t.join(texts, ["doc_id", "block_order"]).groupBy("doc_id", F.col("target").alias("block_order")).agg(F.max_by("text", "block_order").alias("caption_text"))
+
+
 def captioned(blocks: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Blocks with caption_text: that of the last caption of each."""
-    t = targets if targets is not None else caption_targets(blocks)
-    said = t.join(blocks.select("doc_id", "block_order", "text"), ["doc_id", "block_order"]).groupBy("doc_id", F.col("target").alias("block_order")).agg(F.max_by("text", "block_order").alias("caption_text"))
-    return blocks.join(said, ["doc_id", "block_order"], "left")
+    return blocks.join(captions(blocks, targets), ["doc_id", "block_order"], "left")
 
 
 def reference_edges(blocks: DataFrame, targets: DataFrame | None = None) -> DataFrame:

@@ -38,8 +38,7 @@ def html_relations(t: Tables) -> DataFrame:
 def html_chunks(t: Tables) -> DataFrame:
     """Chunks of all pages along that graph."""
     found = _html(t)
-    targets = graph.caption_targets(found)
-    rows = assembly.chunks(graph.captioned(found.drop("caption_text"), targets), saved(graph.relations(found), "edges"))
+    rows = assembly.chunks(found, saved(graph.relations(found), "edges"), captions=graph.captions(found))
     return rows.select("doc_id", "block_order", "child_index", "child_count", "chunk_id", "parent_id", "block_type", "split_strategy", "retrieval_strategy", "child_text", "chunk_words")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuscle.functions.text import clean_ingest
-from corpuscle.operators import assembly, markup, structured
+from corpuscle.operators import assembly, graph, markup, structured
 
 rng = np.random.default_rng(11)
 
@@ -305,3 +305,12 @@ def test_children_carry_no_text_of_their_block(spark):
     assert "child_text#" in plan and not re.search(r"\b(text|content)#", plan)
     got = found.orderBy("child_index").collect()
     assert len(got) == 40 and [r.anchors.clause_id for r in got] == [f"1.{i}" for i in range(40)] and all(r.parent_content is None for r in got)
+
+
+def test_captions_meet_blocks_once(spark):
+    rows = [(1, 0, 1, "table", "Table 1 | a", ["T"]), (1, 1, 1, "caption", "Table 1: sizes", ["T"]), (1, 2, 1, "paragraph", "clause 3.2.1 as in Table 1", ["T"])]
+    blocks = spark.createDataFrame(rows, "doc_id long, block_order int, page int, block_type string, text string, section_path array<string>")
+    edges = graph.relations(blocks)
+    show = lambda df: sorted((r.block_order, r.caption_text, r.retrieval_text, r.chunk_id) for r in df.collect())
+    got = show(assembly.chunks(blocks, edges, captions=graph.captions(blocks)))
+    assert got == show(assembly.chunks(graph.captioned(blocks), edges)) and got[0][1] == "Table 1: sizes"
